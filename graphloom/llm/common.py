@@ -82,3 +82,27 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[str], salt: Co
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_kernel(docs: DataFrame, extra: dict[str, str], kernel: Callable, text: str = "text", keep: str | None = None) -> DataFrame:
+    """Rows of docs and what `kernel(slice) -> {name: array}` says of their texts, in one pass without a shuffle.
+
+    Own columns come back as c0, c1, ... beside the extra ones, so no name can clash; `restore` gives them their names.
+    keep: a boolean among the kernel's results; rows where it is false are left out and it isn't returned.
+    """
+    from . import textkit as tk
+
+    at, cols = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(cols, docs.schema, strict=True)] + list(T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in extra.items())) if extra else []))
+
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for s in tk.text_slices(b.column(at)):
+            got = kernel(s)
+            out = pa.RecordBatch.from_arrays([*b.slice(s.first, s.n).columns, *(a if isinstance(a := got[k], pa.Array) else pa.array(a) for k in extra)], [*cols, *extra])
+            yield out if keep is None else out.filter(pa.array(got[keep]))
+
+    return map_arrow(docs.toDF(*cols), schema, fn)
+
+
+def restore(mapped: DataFrame, docs: DataFrame) -> DataFrame:
+    return mapped.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)

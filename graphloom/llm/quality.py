@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import map_arrow, only, read_table
+from .common import map_arrow, only, read_table, restore, with_kernel
 
 REPEAT_WINDOW = 8
 _SYMBOL = np.zeros(256, bool)
@@ -162,25 +162,11 @@ def ablations(led: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tu
 
 
 def keep_good(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
-    """The rows of docs that pass the policy, in their own columns; texts aren't shuffled.
-
-    The measured verdict is computed in the same pass as the row is carried.
-    """
-    names = docs.columns
-    text_at = names.index("text")
-    schema = docs.schema
-
-    def fn(b: pa.RecordBatch):
-        for s in tk.text_slices(b.column(text_at)):
-            m = _measure(s)
-            yield pa.RecordBatch.from_arrays([*b.slice(s.first, s.n).columns, *(pa.array(m[k].astype(np.int64)) for k in MEASURES)], [*(f"c{i}" for i in range(len(names))), *MEASURES])
-
-    fields = [*(f"c{i}" for i in range(len(names)))]
-    plain = docs.toDF(*fields)
-    measured = map_arrow(plain, f"{', '.join(f'{c} {f.dataType.simpleString()}' for c, f in zip(fields, schema, strict=True))}, " + ", ".join(f"{k} long" for k in MEASURES), fn)
+    """The rows of docs that pass the policy, in their own columns; measured in the pass that carries them, no shuffle."""
+    measured = with_kernel(docs, {k: "long" for k in MEASURES}, _measure)
     used = [r for r in RULES if r.name in policy.rules]
     fails = F.coalesce(F.expr(" or ".join(f"({r.fails})" for r in used)), F.lit(False))
-    return measured.filter(~fails).select(*fields).toDF(*names)
+    return restore(measured.filter(~fails), docs)
 
 
 def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
