@@ -1,12 +1,14 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
 from .decontaminate import op8_suffix_decontamination
+from .neardup import op2_probminhash_classes
 from .packing import op4_shortest_pack_first
 from .quality import op1_quality_ledger
 from .sharding import op10_virtual_slots
 
 QUERIES = {
     "op1_quality_ledger": op1_quality_ledger,
+    "op2_probminhash_classes": op2_probminhash_classes,
     "op4_shortest_pack_first": op4_shortest_pack_first,
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op10_virtual_slots": op10_virtual_slots,
