@@ -1,16 +1,22 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
 from .decontaminate import op8_suffix_decontamination
+from .licences import OP7_SQL, op7_dice_licences
+from .linededup import OP5_SQL, op5_line_windows
 from .neardup import op2_probminhash_classes
 from .packing import op4_shortest_pack_first
 from .quality import op1_quality_ledger
+from .secrets import op3_entropy_secrets
 from .sharding import op10_virtual_slots
 
 QUERIES = {
     "op1_quality_ledger": op1_quality_ledger,
     "op2_probminhash_classes": op2_probminhash_classes,
+    "op3_entropy_secrets": op3_entropy_secrets,
     "op4_shortest_pack_first": op4_shortest_pack_first,
+    "op5_line_windows": op5_line_windows,
+    "op7_dice_licences": op7_dice_licences,
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op10_virtual_slots": op10_virtual_slots,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_line_windows": OP5_SQL, "op7_dice_licences": OP7_SQL}

@@ -1,23 +1,62 @@
-"""Ids of a public tokenizer for whole texts, by way of a bounded per-worker table of words already encoded.
+"""Ids of a public tokenizer for whole texts, by way of bounded per-worker tables of words and pieces already encoded.
 
-Only for tokenizers that drop white space and never join ids across it: there a text's ids are its words' ids.
+Only for byte-level BPE tokenizers with word ends that drop white space: there a text's ids are its words' ids, and a
+word's ids are those of its pieces.  Plain words are cut and lowered here and only a piece's merges are asked of the
+library; words with characters beyond Latin, or with a special token, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words kept per worker, and the longest that is kept.
-KEPT_WORDS, KEPT_CHARS = 250_000, 48
+#: Words of one of the two generations that a worker keeps; pieces likewise; the longest kept.
+KEPT_WORDS, KEPT_PIECES, KEPT_CHARS = 350_000, 200_000, 40
 # str.split() cuts at these, the tokenizer doesn't
 _CONTROL = re.compile("[\x1c-\x1f]")
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_BEYOND = re.compile("[^\x00-ɏ]|<\\|")
+_PACK = [struct.Struct(f"<{k}I").pack for k in range(64)]
 
-_open: dict[str, WordIds] = {}
+_open: dict[str, "WordIds"] = {}
+
+
+def _printable() -> dict[int, int]:
+    """The byte alphabet of byte-level BPE: printable bytes stand for themselves, the others for 256, 257, ..."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in own)}
+
+
+_BYTES = _printable()
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+
+
+class _Table(dict):
+    """Two generations: what is used again moves to the young one, the old one is dropped when the young one is full."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEPT_CHARS:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class WordIds:
@@ -25,26 +64,33 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tok.model
+        self.words, self.pieces = _Table(self._word, KEPT_WORDS), _Table(self._piece, KEPT_PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1")
+        return _packed([t.id for t in self.model.tokenize(piece.translate(_BYTES))])
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.pieces[word.lower()]
+        if _BEYOND.search(word):
+            return _packed(self.tok.encode(word, add_special_tokens=False).ids)
+        lower = word.lower() if word.isascii() else "".join(map(str.lower, word))
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(lower)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null has none."""
-        words = [None if t and _CONTROL.search(t) else (t or "").split() for t in texts]
-        new = set().union(*(w for w in words if w)) - self.known.keys()
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = {}
-            new = set().union(*(w for w in words if w))
-        fresh = list(new)
-        table = self.known
-        long: dict[str, bytes] = {}
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                (table if len(w) <= KEPT_CHARS else long)[w] = np.array(e.ids, "<u4").tobytes()
-        if long:
-            table = table | long
-        get = table.__getitem__
-        return [b"".join(map(get, w)) if w is not None else np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for w, t in zip(words, texts, strict=True)]
+        get, out = self.words.__getitem__, []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif _CONTROL.search(t):
+                out.append(_packed(self.tok.encode(t, add_special_tokens=False).ids))
+            else:
+                out.append(b"".join(map(get, t.split())))
+        return out
 
 
 def word_ids(path: str) -> WordIds:
