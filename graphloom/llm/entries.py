@@ -1,6 +1,7 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
 from .decontaminate import op8_suffix_decontamination
+from .langid import op6_byte_bigru
 from .licences import OP7_SQL, op7_dice_licences
 from .linededup import OP5_SQL, op5_line_windows
 from .neardup import op2_probminhash_classes
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_entropy_secrets": op3_entropy_secrets,
     "op4_shortest_pack_first": op4_shortest_pack_first,
     "op5_line_windows": op5_line_windows,
+    "op6_byte_bigru": op6_byte_bigru,
     "op7_dice_licences": op7_dice_licences,
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op10_virtual_slots": op10_virtual_slots,
