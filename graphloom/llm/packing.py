@@ -29,27 +29,25 @@ END_ID = 1
 BUCKET_ROWS = 100_000
 
 
-def cut(n: int, context: int = CONTEXT) -> list[int]:
-    """Bounds of the pieces of n ids: full contexts, then the rest."""
-    return [*range(0, n, context), n]
-
-
 def pieces(docs: DataFrame, tokenizer: str | None = None, context: int = CONTEXT) -> DataFrame:
     path = tokenizer or default_path()
-    end = np.array([END_ID], "<u4").tobytes()
 
     def fn(b: pa.RecordBatch):
         enc = word_ids(path)
-        for s in tk.text_slices(b.column(1), 4 << 20):
-            ids = b.column(0).slice(s.first, s.n)
-            rows: list[tuple[int, int, int, int, int]] = []
-            for k, raw in enumerate(enc.encode(b.column(1).slice(s.first, s.n).to_pylist())):
-                raw += end
-                n = len(raw) // 4
-                at = cut(n, context)
-                rows += [(k, a, z - a, zlib.crc32(raw[4 * a : 4 * z]), n) for a, z in zip(at, at[1:])]
-            cols = np.array(rows, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0])), *(pa.array(c) for c in cols[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for s in tk.text_slices(b.column(1)):
+            ids, per, first = enc.slice(s)
+            bounds = np.concatenate([[0], np.cumsum(per)])[first]
+            size = np.diff(bounds) + 1
+            raw = np.full(len(ids) + s.n, END_ID, "<u4")
+            raw[np.arange(len(ids)) + np.repeat(np.arange(s.n), size - 1)] = ids
+            at = np.cumsum(size) - size
+            pieces = -(-size // context)
+            doc = np.repeat(np.arange(s.n), pieces)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * context
+            length = np.minimum(context, size[doc] - start)
+            flat = memoryview(raw.tobytes())
+            crc = [zlib.crc32(flat[4 * a : 4 * (a + n)]) for a, n in zip((at[doc] + start).tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[doc])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return map_arrow(only(docs, doc_id="long", text="string"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", fn)
 
