@@ -4,6 +4,7 @@ from .decontaminate import op8_suffix_decontamination
 from .langid import op6_byte_bigru
 from .licences import OP7_SQL, op7_dice_licences
 from .linededup import OP5_SQL, op5_line_windows
+from .lmscore import op9_attention_scores
 from .neardup import op2_probminhash_classes
 from .packing import op4_shortest_pack_first
 from .quality import op1_quality_ledger
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_byte_bigru": op6_byte_bigru,
     "op7_dice_licences": op7_dice_licences,
     "op8_suffix_decontamination": op8_suffix_decontamination,
+    "op9_attention_scores": op9_attention_scores,
     "op10_virtual_slots": op10_virtual_slots,
 }
 SQL: dict[str, str] = {"op5_line_windows": OP5_SQL, "op7_dice_licences": OP7_SQL}
