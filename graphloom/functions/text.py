@@ -98,8 +98,9 @@ def clean_text(raw: Column, boilerplate: tuple[str, ...] = ()) -> Column:
     """One kind of line end, no tabs, page numbers, or lines in which a boilerplate pattern is found; blanks collapsed."""
     x = F.regexp_replace(F.replace(raw, F.lit("\r\n"), F.lit("\n")), "\t+", " ")
     keep = F.filter(F.transform(F.split(x, "\n"), strip), lambda y: ~y.rlike(r"(?i)^(?:page\s+)?\d+\z"))
-    for p in boilerplate:
-        keep = F.filter(keep, lambda y, p=p: ~y.rlike(f"(?i){p}"))
+    if boilerplate:
+        found = "(?i)" + "|".join(f"(?:{p})" for p in boilerplate)
+        keep = F.filter(keep, lambda y: ~y.rlike(found))
     text = F.regexp_replace(F.array_join(keep, "\n"), " {2,}", " ")
     return strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
 
