@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PREDICATE = F.when(F.col("l_returnflag") == "A", "depends on")
-
-
 def _vector(col: str = "embedding"):
     return F.transform(col, lambda x: x.cast("double"))
 
@@ -35,14 +32,14 @@ class Views:
         obj = F.when(F.col("l_linenumber") % 7 == 0, "").when(F.col("l_linestatus") == "F", F.lower("c_mktsegment")).otherwise(F.col("n_name"))
         return j.select(
             "triple_id", F.col("o_custkey").cast("int").alias("text_id"), F.col("l_orderkey").cast("string").alias("chunk_id"),
-            F.col("p_name").alias("subject_norm"), PREDICATE.when(F.col("l_returnflag") == "N", "is part of").otherwise("returned from").alias("predicate_norm"),
+            F.col("p_name").alias("subject_norm"), F.when(F.col("l_returnflag") == "A", "depends on").when(F.col("l_returnflag") == "N", "is part of").otherwise("returned from").alias("predicate_norm"),
             obj.alias("object_norm"), F.col("p_type").alias("subject_type"), F.lit("Concept").alias("object_type"),
         )
 
     @cached_property
     def tg(self) -> DataFrame:
         """Canonical triples between suppliers and parts."""
-        pred = PREDICATE.when(F.col("l_returnflag") == "N", "is").otherwise("returned from")
+        pred = F.when(F.col("l_returnflag") == "A", "depends on").when(F.col("l_returnflag") == "N", "is").otherwise("returned from")
         return self._lines.select("triple_id", F.concat(F.lit("supplier "), F.col("l_suppkey")).alias("s"), pred.alias("p"), F.concat(F.lit("part "), F.col("l_partkey")).alias("o"), F.col("l_orderkey").cast("string").alias("chunk_id"))
 
     @cached_property
