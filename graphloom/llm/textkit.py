@@ -19,7 +19,7 @@ _PI = pow(_P, -1, 1 << 64)
 _Q = 0xC2B2AE3D27D4EB4F | 1
 _QI = pow(_Q, -1, 1 << 64)
 #: Text bytes handled at a time; scratch memory is some sixty times this.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 700_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)

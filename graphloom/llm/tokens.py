@@ -24,7 +24,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words of one of the two generations that a worker keeps; pieces likewise.
 KEPT_WORDS, KEPT_PIECES = 100_000, 100_000
 #: Pieces of the table for plain texts.
-TABLE_PIECES = 600_000
+TABLE_PIECES = 500_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _BEYOND = re.compile("[^\x00-ɏ]|<\\|")
@@ -61,7 +61,7 @@ class Merges:
         self.inner = np.array([vocab[c] for c in letter], np.int64)
         self.final = np.array([vocab[c + suffix] for c in letter], np.int64)
         key = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
-        self.bits = 20
+        self.bits = 18
         self.key, self.value = np.full(1 << self.bits, self._FREE), np.zeros(1 << self.bits, np.int64)
         todo, at = np.arange(len(key)), self._slot(key)
         self.probes = 0
@@ -227,24 +227,26 @@ def _plain(s: tk.Slice) -> np.ndarray:
 class PlainIds:
     """Ids of slices of documents, with how many ids each white-space word has."""
 
-    BITS = 21
+    BITS = 20
 
     def __init__(self, path: str):
         self.slow = WordIds(path)
         self._clear()
 
-    def _clear(self) -> None:
-        self.key, self.value = np.zeros(1 << self.BITS, tk.U), np.zeros(1 << self.BITS, np.int64)
-        self.flat, self.used, self.count = np.zeros(1 << 20, np.uint32), 0, 0
+    def _clear(self, pieces: int = 0) -> None:
+        """An empty table, larger than usual if one slice has that many pieces."""
+        self.bits = max(self.BITS, int(2 * pieces).bit_length())
+        self.key, self.value = np.zeros(1 << self.bits, tk.U), np.zeros(1 << self.bits, np.int64)
+        self.flat, self.used, self.count = np.zeros(1 << 18, np.uint32), 0, 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """start << 24 | length of each piece's ids, -1 where the table lacks it."""
-        at = (h >> tk.U(64 - self.BITS)).astype(np.int64)
+        at = (h >> tk.U(64 - self.bits)).astype(np.int64)
         have = self.key[at]
         out = np.where(have == h, self.value[at], -1)
         todo = np.flatnonzero((have != h) & (have != 0))
         while len(todo):
-            at[todo] = (at[todo] + 1) & ((1 << self.BITS) - 1)
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
             have = self.key[at[todo]]
             hit = have == h[todo]
             out[todo[hit]] = self.value[at[todo[hit]]]
@@ -260,7 +262,7 @@ class PlainIds:
         value = (self.used + np.cumsum(per) - per) << 24 | per
         self.used += len(new)
         self.count += len(ids)
-        at = (h >> tk.U(64 - self.BITS)).astype(np.int64)
+        at = (h >> tk.U(64 - self.bits)).astype(np.int64)
         todo = np.arange(len(h))
         while len(todo):
             free = self.key[at[todo]] == 0
@@ -268,7 +270,7 @@ class PlainIds:
             mine = self.key[at[todo]] == h[todo]
             self.value[at[todo[mine]]] = value[todo[mine]]
             todo = todo[~mine]
-            at[todo] = (at[todo] + 1) & ((1 << self.BITS) - 1)
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
 
     def slice(self, s: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, how many each word has, and the first word of each document (n + 1)."""
@@ -315,6 +317,10 @@ class PlainIds:
         if len(lost):
             hs, at = np.unique(h[lost], return_index=True)
             at = lost[at]
+            if self.count + len(hs) > 3 << self.bits >> 2:
+                hs, at = np.unique(h, return_index=True)
+                self._clear(len(hs))
+                lost = np.arange(len(h))
             flat = low.tobytes()
             raw = [flat[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             model = self.slow.model
