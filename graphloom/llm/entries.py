@@ -1,5 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
+from . import sql
 from .decontaminate import op8_suffix_decontamination
 from .langid import op6_byte_bigru
 from .licences import OP7_SQL, op7_dice_licences
@@ -23,4 +24,10 @@ QUERIES = {
     "op9_attention_scores": op9_attention_scores,
     "op10_virtual_slots": op10_virtual_slots,
 }
-SQL: dict[str, str] = {"op5_line_windows": OP5_SQL, "op7_dice_licences": OP7_SQL}
+SQL: dict[str, str] = {
+    "op1_quality_ledger": sql.OP1,
+    "op3_entropy_secrets": sql.OP3,
+    "op5_line_windows": OP5_SQL,
+    "op7_dice_licences": OP7_SQL,
+    "op8_suffix_decontamination": sql.OP8,
+}
