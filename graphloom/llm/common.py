@@ -48,7 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(at)
     _made.append((spark, at))
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._table = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that materialize wrote for df; nothing that reads it may be left."""
+    if at := df.__dict__.get("_table"):
+        drop_path(df.sparkSession, at)
 
 
 def map_arrow(df: DataFrame, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
