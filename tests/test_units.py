@@ -15,6 +15,7 @@ from graphloom.operators import canonical, chunking, extraction, graph, relation
 from graphloom.operators import rules as R
 from graphloom.operators import scope_text as S
 from graphloom.pipeline import STAGES, Pipeline
+from graphloom.plans import control
 from graphloom.sources import files, sinks
 from graphloom.sources.catalog import Catalog
 from graphloom.streaming import state
@@ -254,6 +255,28 @@ def test_judge_is_asked_again_and_fails_closed(spark):
     assert got == {("triple", "Soul", None), ("rejection", "Form", "no_verdict"), ("rejection", "They", "pronoun_subject"), ("skip", None, "legal_boilerplate_chunk")}
 
 
+def test_control(spark):
+    s = control.Session()
+    assert s.allow("guard_relevance") and not s.allow("expand_node") and s.think("x") == 1
+    for p in ("scope", "retrieval", "traversal"):
+        s.advance(p)
+    with pytest.raises(ValueError):
+        s.advance("scope")
+    s.visit("a")
+    s.visit("b")
+    assert s.backtrack() == "a" and s.backtrack() is None and s.allow("backtrack") and control.Session.walk_cap(99) == 24
+    log = spark.createDataFrame([(1, 1, "session"), (1, 2, "scope"), (1, 3, "done")], "q int, t int, phase string")
+    assert [r.valid for r in control.audit(log, control.transitions(spark), "q", "t", "phase").orderBy("t").collect()] == [True, True, False]
+    t = spark.createDataFrame([("gutenberg ebook", "x"), ("soul", "form")], "subject_norm string, object_norm string")
+    assert control.confirm_patterns(t, ["%gutenberg%", "%zzz%", "%soul%", "%'; drop"], lambda p, m: "soul" not in m) == ["%gutenberg%"]
+    m = spark.createDataFrame([("soul", "1"), ("soul", "2"), ("quark", "1"), ("quark", "2")], "entity string, chunk_id string")
+    c = spark.createDataFrame([("1", "The soul is form."), ("2", "Of the soul we speak.")], "chunk_id string, content string")
+    assert [tuple(r) for r in control.provenance_failures(m, c).collect()] == [("quark", 2, 2)]
+    cited = spark.createDataFrame([(1, "1"), (2, "9")], "query_id int, chunk_id string")
+    read = spark.createDataFrame([(1, "1"), (2, "2")], "query_id int, chunk_id string")
+    assert {r.query_id: r.passes for r in control.gate(cited, read).collect()} == {1: True, 2: False}
+
+
 def test_pipeline_is_idempotent(spark, tmp_path):
     res = tmp_path / "res"
     res.mkdir()
