@@ -315,6 +315,14 @@ def traverse(edges: DataFrame, flags: DataFrame, seeds: DataFrame, members: Data
     node = node.select("query_id", "node_id", own.alias("own"), (F.col("valid_expansion") & (F.col("hit") | F.lit(not restrict))).alias("ok"), F.col("comm_id"))
     part = node.select("query_id", F.col("node_id").alias("s")).join(best, "s")
     score = 0.2 * F.least(F.col("weight") / 10.0, F.lit(1.0)) * F.col("pw")
+    # Of one node's out-edges only so many can be taken: each better one fills a place of the beam or was visited before.
+    # The rest is cut here, so a hub doesn't fill the task of a query that meets it.
+    to = node.select("query_id", F.col("node_id").alias("o"), F.col("own").alias("to_own"), F.col("ok").alias("to_ok"))
+    part = part.join(to, ["query_id", "o"]).filter("to_ok and pw <> 0")
+    rank = F.row_number().over(Window.partitionBy("query_id", "s").orderBy(F.desc(F.col("to_own") + score), "o"))
+    part = part.withColumn("r", rank).filter(F.col("r") <= beam + seed_cap + max_nodes)
+    used = part.select("query_id", F.col("o").alias("node_id")).unionByName(seeds.select("query_id", "node_id")).distinct()
+    node = node.join(used, ["query_id", "node_id"], "left_semi")
     rows = part.select("query_id", F.lit(1).alias("kind"), "s", "o", "label", score.alias("x"), "pw", "chunks", F.lit(None).cast("boolean").alias("ok"), F.lit(None).cast("int").alias("rank"))
     nodes = node.join(seeds.select("query_id", "node_id", "rank"), ["query_id", "node_id"], "left")
     rows = rows.unionByName(nodes.select("query_id", F.lit(0).alias("kind"), F.col("node_id").alias("s"), F.lit(None).cast("string").alias("o"), F.lit(None).cast("string").alias("label"), F.col("own").alias("x"), F.lit(None).cast("double").alias("pw"), F.lit(None).cast("array<string>").alias("chunks"), "ok", F.col("rank").cast("int")))

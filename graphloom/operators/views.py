@@ -56,7 +56,7 @@ class Views:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        d = self.table("documents").join(F.broadcast(self.files.select("text_id", F.col("author_source").alias("source"))), "source")
+        d = self.table("documents").join(self.files.select("text_id", F.col("author_source").alias("source")), "source")
         pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
         return d.select(F.col("doc_id").cast("string").alias("chunk_id"), "text_id", pos.cast("long").alias("position"), F.when(F.col("doc_id") % 10 == 0, "document").otherwise("local").alias("level"), F.col("text").alias("content"), F.greatest(F.lit(1), F.expr("n_chars div 4")).cast("long").alias("approx_tokens"), "doc_id")
 

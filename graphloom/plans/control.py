@@ -102,7 +102,7 @@ def provenance_failures(mentions: DataFrame, chunks: DataFrame, threshold: float
 def audit(log: DataFrame, allowed: DataFrame, key: str, at: str, what: str) -> DataFrame:
     """Each step of a log and whether it may follow the one before; allowed: prev, what."""
     prev = F.lag(what).over(Window.partitionBy(key).orderBy(at))
-    j = log.select(key, at, what, prev.alias("prev")).join(F.broadcast(allowed.withColumn("ok", F.lit(True))), ["prev", what], "left")
+    j = log.select(key, at, what, prev.alias("prev")).join(allowed.withColumn("ok", F.lit(True)), ["prev", what], "left")
     return j.select(key, at, (F.col("prev").isNull() | F.coalesce("ok", F.lit(False))).alias("valid"))
 
 

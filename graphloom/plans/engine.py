@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,10 @@ from ..operators.relational import cosine, ends
 from ..operators.views import Views
 
 
+#: Questions of a block, about: their vectors are broadcast.
+BLOCK = 1000
+
+
 class KnowledgeEngine:
     """Answers come as ranked chunks with their scores; a language model may turn them into prose."""
 
@@ -20,10 +26,17 @@ class KnowledgeEngine:
 
     def answer(self, questions: DataFrame) -> DataFrame:
         """questions: query_id, question, vec_id (whose vector stands for the question's) -> query_id, place, chunk_id, score, source."""
+        n = -(-questions.count() // BLOCK)
+        if n > 1:
+            parts = [self._block(questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)) for k in range(n)]
+            return reduce(DataFrame.unionByName, parts)
+        return self._block(questions)
+
+    def _block(self, questions: DataFrame) -> DataFrame:
         v = self.v
         vec = v.table("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"))
         q = questions.join(vec, "vec_id").withColumn("words", X.tokens(F.col("question")))
-        # the questions of one call are few: each task scores its vectors against all of them
+        # each task scores its vectors against a block of questions
         scored = v.ec.join(F.broadcast(q.select("query_id", "q"))).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
         r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "chunk_id"))
         top = scored.withColumn("rank", r).filter(F.col("rank") <= self.near)
