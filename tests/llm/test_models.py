@@ -162,7 +162,7 @@ def test_language_edges(docs, empty, spark):
 # --- language model ---------------------------------------------------------------------------------------------------
 def small_model(seed=0, **kw):
     rng = np.random.default_rng(seed)
-    m = lmscore.Attention(rng.integers(0, 50, 60).astype(float), np.zeros(60), dim=4, head=12, inputs=30)
+    m = lmscore.Attention(rng.integers(0, 50, 60).astype(float), np.zeros(60), None, dim=4, head=12, inputs=30)
     for k in m.p:
         m.p[k] = rng.standard_normal(m.p[k].shape) * 0.3
     return m, rng
@@ -188,7 +188,8 @@ def test_batched_scores_equal_one_by_one():
     m.ready()
     per = np.array([0, 5, 16, 47, 1])
     ids = rng.integers(0, 60, per.sum())
-    got, at, k = m.ids(ids, per), 0, 0
+    begins = rng.integers(0, 2, len(ids)).astype(bool)
+    got, at, k = m.ids(ids, per, begins), 0, 0
     for n in per:
         own = ids[at : at + n]
         x = np.concatenate([[0], m.of[own]])
@@ -199,7 +200,7 @@ def test_batched_scores_equal_one_by_one():
             a = (m.p["q"][x[t]] @ m.p["k"][seen].T) / 2.0 + m.p["near"][t - start - np.arange(len(seen))]
             a = np.exp(a) / np.exp(a).sum()
             z = np.tanh(m.p["e"][x[t]] + a @ m.p["v"][seen]) @ m.p["w"] + m.p["b"]
-            want = z[y[t]] - np.log(np.exp(z).sum()) + (m.within[own[t]] if t < n else 0)
+            want = z[y[t]] - np.log(np.exp(z).sum()) + (m.within[int(begins[at + t]), own[t]] if t < n else 0)
             assert abs(got[k] - want) < 1e-4
             k += 1
         at += n
@@ -209,7 +210,7 @@ def test_word_probabilities_are_proper():
     """Over one more id, the classes and the ids within "another" sum to one, and so do go and stop."""
     m, _ = small_model()
     rare = m.out == 1
-    assert abs(np.exp(m.within[rare]).sum() - 1) < 1e-5
+    assert np.allclose(np.exp(m.within[:, rare]).sum(axis=1), 1, atol=1e-5)
     assert np.allclose(np.exp(m.stop) + np.exp(m.go), 1)
 
 
