@@ -2,7 +2,11 @@
 
 import re
 
-from graphloom.llm import licences
+import numpy as np
+import pyarrow as pa
+
+from graphloom.llm import licences, lmscore, tokens
+from graphloom.llm import textkit as tk
 
 
 def base_licences(text, templates, least=licences.DICE):
@@ -44,3 +48,24 @@ def test_licence_lines_bodies_and_wrapped_notices(spark):
     assert names(1) == {"proprietary"} and names(2) == {"mit"} and len(got[3]) == 2
     for k, (name, _) in enumerate(every):
         assert name in names(len(both) + k)
+
+
+def test_id_counts_are_of_all_training_rows(spark, docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "SAMPLE_DOCS", 1)
+    monkeypatch.setattr(lmscore.Attention, "train", lambda *a, **k: [])
+    seen = []
+    init = lmscore.Attention.__init__
+    monkeypatch.setattr(lmscore.Attention, "__init__", lambda self, *tables, **k: (seen.extend(tables), init(self, *tables, **k))[1])
+    path = tokens.default_path()
+    enc = tokens.word_ids(path)
+    lmscore.score(docs, docs).count()
+    want = np.zeros((3, len(seen[0])))
+    for r in docs.collect():
+        ids, per, _ = enc.slice(next(tk.text_slices(pa.array([r.text or ""]))))
+        words = [w for w in np.split(ids, np.cumsum(per)[:-1]) if len(w)]
+        for w in words:
+            np.add.at(want[0], w, 1)
+            want[1, w[-1]] += 1
+            want[2, w[0]] += 1
+    assert np.array_equal(np.stack(seen), want)
+    assert lmscore.sampled(10**7) * 10**7 > 10 * lmscore.sampled(10**5) * 10**5
