@@ -69,3 +69,26 @@ def test_id_counts_are_of_all_training_rows(spark, docs, monkeypatch):
             want[2, w[0]] += 1
     assert np.array_equal(np.stack(seen), want)
     assert lmscore.sampled(10**7) * 10**7 > 10 * lmscore.sampled(10**5) * 10**5
+
+
+def test_ends_are_trained():
+    rng = np.random.default_rng(4)
+    runs = np.full((200, 96), -1)
+    for r, k in zip(runs, rng.integers(3, 20, 200), strict=True):
+        r[: k + 1] = [*rng.integers(0, 20, k), lmscore.END_RUN]
+    counts = np.bincount(runs[runs >= 0], minlength=300).astype(float)
+    m = lmscore.Attention(counts, np.zeros(300))
+    m.train(runs, steps=150)
+    per = np.array([(r >= 0).sum() for r in runs])
+    ids = np.concatenate([r[r >= 0] for r in runs])
+    ends = np.exp(m.ready().ids(ids, per, np.ones(len(ids), bool))[np.cumsum(per + 1) - 1])
+    assert 0.3 / per.mean() < ends.mean() < 3 / per.mean()
+
+
+def test_weight_of_attention_is_the_likeliest():
+    rng = np.random.default_rng(5)
+    c, sub = rng.integers(0, 40, 4000).astype(float), -rng.random(4000) * 9
+    n, discount, spare = 1000, 0.6, 0.07
+    like = lambda w: np.log((1 - w) * (np.maximum(c - discount, 0) / n + spare * np.exp(sub)) + w * np.exp(sub)).sum()
+    got = lmscore.mix(c, sub, n, discount, spare)
+    assert 0 < got < 1 and like(got) >= max(like(w) for w in np.linspace(0.001, 0.999, 999)) - 1e-2
