@@ -34,7 +34,7 @@ class OfflineExtractor:
     _PATTERN = re.compile(r"\b([^\W\d_][\w'-]{2,})\s+((?:[^\W\d_]+\s+){1,2})([^\W\d_][\w'-]{2,})")
 
     def triples(self, text: str) -> list[tuple[str, str, str]]:
-        return [(m[1], m[2].strip(), m[3]) for s in re.split(r"(?<=[.!?])\s+", text)[:40] if (m := self._PATTERN.search(s))]
+        return [(m[1], m[2].strip(), m[3]) for s in re.split(r"(?<=[.!?])\s+", text) for m in self._PATTERN.finditer(s)]
 
     def keep(self, triples: list[tuple[str, str, str]]) -> list[bool | None]:
         return [s.lower() != o.lower() for s, _, o in triples]
