@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import graph_queries, more_queries, relational, retrieval_queries, text_queries  # noqa: F401
+from . import graph_queries, more_queries, relational, retrieval_queries, text_queries, whole_queries  # noqa: F401

@@ -1,0 +1,57 @@
+"""Queries over whole tables whose namesakes without `_whole` run over a subset of ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import graph as G
+from ..operators.canonical import canonicalize, similar_pairs
+from ..operators.relational import cosine, ends
+from .registry import query
+
+
+@query("gr7_components_whole")
+def _(v):
+    return G.components(v.tg.select("s", "o").distinct(), "s", "o")
+
+
+@query("cn5_threshold_components_whole")
+def _(v):
+    e = v.table("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return G.components(similar_pairs(e, "vec_id", 0.35), "a", "b")
+
+
+@query("sr5_sequence_whole", "select event_id, row_number() over (order by ts, event_id) as seq from events")
+def _(v):
+    e = v.table("events").select("event_id", "ts", F.to_date(F.col("ts").cast("timestamp")).alias("day"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    days = e.groupBy("day").agg(F.count("*").alias("n")).select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    r = F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id"))
+    return e.withColumn("r", r).join(days, "day").select("event_id", (F.col("r") + F.col("base")).cast("long").alias("seq"))
+
+
+@query("jo21_edge_cosines_whole", "select s, o, round(list_cosine_similarity(a.embedding, b.embedding), 6)::double as score from (select distinct s, o from tg) join ee a on a.entity = s join ee b on b.entity = o")
+def _(v):
+    j = v.tg.select("s", "o").distinct().join(v.ee.toDF("s", "ea"), "s").join(v.ee.toDF("o", "eb"), "o")
+    return j.select("s", "o", F.round(cosine(F.col("ea"), F.col("eb")), 6).alias("score"))
+
+
+@query("cn4_pair_keys_whole", "select distinct least(s, o) as a, greatest(s, o) as b from tg")
+def _(v):
+    return v.tg.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
+
+
+@query("cn3_semantic_merge_whole")
+def _(v):
+    n = ends(v.tg).groupBy("entity").agg(F.count("*").alias("n")).filter("n >= 2")
+    return canonicalize(v.ee.join(n, "entity").select(F.col("entity").alias("name"), "n", "embedding"), 0.92)
+
+
+#: The reference's limit.
+SCAN = 50_000
+
+
+@query("jo14_provenance_scan_whole", f"select e.node_id, c.chunk_id from (select s as node_id, chunk_id from tg) e join chunks c using (chunk_id) order by 1, 2 limit {SCAN}")
+def _(v):
+    return v.tg.select(F.col("s").alias("node_id"), "chunk_id").join(v.chunks.select("chunk_id"), "chunk_id").select("node_id", "chunk_id").orderBy("node_id", "chunk_id").limit(SCAN)

@@ -2,6 +2,12 @@
 
 import re
 
+import duckdb
+import numpy as np
+
+from graphloom.plans import catalog  # noqa: F401
+from graphloom.plans.registry import QUERIES
+
 from graphloom.operators import extraction
 
 
@@ -28,3 +34,30 @@ def test_extraction_reads_all_sentences_and_all_matches(spark):
     d = spark.createDataFrame([("a", text)], "chunk_id string, content string")
     got = extraction.extract(d).orderBy("n").collect()
     assert [r.n for r in got] == list(range(len(want))) and [r.subject for r in got] == [s for s, _, _ in want]
+
+
+def base_components(pairs):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(up)}
+
+
+def test_components_and_merges_over_whole_tables(spark, data):
+    lines = duckdb.sql(f"select distinct 'supplier ' || l_suppkey, 'part ' || l_partkey from '{data}/lineitem.parquet'").fetchall()
+    assert {r.node: r.component for r in QUERIES["gr7_components_whole"](spark, data).collect()} == base_components(lines)
+    ids, vectors = zip(*duckdb.sql(f"select vec_id, embedding from '{data}/embeddings.parquet' order by 1").fetchall(), strict=True)
+    x = np.array(vectors, float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.35, 1))
+    want = base_components([(ids[i], ids[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+    assert {r.node: r.component for r in QUERIES["cn5_threshold_components_whole"](spark, data).collect()} == want
+    names = {r.name for r in QUERIES["cn3_semantic_merge_whole"](spark, data).collect()}
+    assert any(n.startswith("part ") for n in names) and any(n.startswith("supplier ") for n in names)
