@@ -125,12 +125,13 @@ def clustering_edges(pairs: DataFrame, min_weight: int = 1, degree_pct: float =
     return e.select("u_id", "v_id", (F.log1p("weight") if log_weight else F.col("weight").cast("double")).alias("w"))
 
 
-def leiden(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, gamma: float = 1.0, rounds: int = 10) -> np.ndarray:
+def leiden(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, gamma: float = 1.0, rounds: int = 10, total: float | None = None) -> np.ndarray:
     """Community of each node: local moving, refinement and aggregation for modularity with this resolution.
 
-    Deterministic: nodes are visited in order, ties go to the least community.
+    Deterministic: nodes are visited in order, ties go to the least community.  total: twice the weight of the whole graph,
+    if these edges are only a part of it.
     """
-    total = 2.0 * w.sum()
+    total = 2.0 * w.sum() if total is None else total
     group = np.arange(n)  # original node -> current super node
     labels = np.arange(n)
     for _ in range(rounds):
@@ -205,26 +206,60 @@ def modularity(u: np.ndarray, v: np.ndarray, w: np.ndarray, labels: np.ndarray,
 SMALL_EDGES = 2_000_000
 
 
+def contract(edges: DataFrame, gamma: float, total: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """node_id, top, and the edges between tops: pairs of nodes that are each other's best gain in modularity merge, in
+    distributed rounds, until `most` edges are left or no pair gains.  Merged pairs don't share nodes, so every merge gains."""
+    top = ends(edges, "u_id", "v_id", out="node_id").distinct().withColumn("top", F.col("node_id"))
+    e = edges.select("u_id", "v_id", "w")
+    while e.count() > most:
+        both = e.unionByName(e.select(F.col("v_id").alias("u_id"), F.col("u_id").alias("v_id"), "w"))
+        k = both.groupBy("u_id").agg(F.sum("w").alias("k"))
+        near = both.filter("u_id <> v_id").groupBy("u_id", "v_id").agg(F.sum("w").alias("w")).join(k, "u_id").join(k.toDF("v_id", "k2"), "v_id")
+        gain = near.withColumn("gain", F.round(F.col("w") - F.lit(gamma / total) * F.col("k") * F.col("k2"), 9)).filter("gain > 0")
+        best = gain.groupBy("u_id").agg(F.max_by("v_id", F.struct("gain", F.xxhash64(F.least("u_id", "v_id"), F.greatest("u_id", "v_id")))).alias("to"))
+        pairs = best.join(best.toDF("to", "back"), "to").filter("back = u_id and to < u_id").select("u_id", "to").localCheckpoint()
+        if pairs.isEmpty():
+            break
+        low = lambda d, c: d.join(pairs.toDF(c, "_to"), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")  # noqa: E731, B023
+        e = low(low(e, "u_id"), "v_id").select(F.least("u_id", "v_id").alias("u_id"), F.greatest("u_id", "v_id").alias("v_id"), "w").groupBy("u_id", "v_id").agg(F.sum("w").alias("w")).localCheckpoint()
+        top = low(top, "top").localCheckpoint()
+    return top, e
+
+
 def communities(edges: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """node_id, comm_id.  Up to SMALL_EDGES edges one task runs Leiden; beyond, each component is a task of its own if it
-    is small enough, and larger components raise."""
-    n = edges.count()
+    """node_id, comm_id.  Up to SMALL_EDGES edges one task runs Leiden; beyond, each component is a task of its own, and
+    components that are larger still are contracted first.  The modularity is that of the whole graph in each case; what
+    can't be contracted to SMALL_EDGES has no pair left that gains, and its merged nodes are the communities."""
+    n, weight = edges.agg(F.count("*"), F.sum("w")).first()
+    total = 2.0 * float(weight or 0.0)
     key: Column = F.lit("all")
-    e = edges
+    e, top, apart = edges, None, None
     if n > SMALL_EDGES:
-        e = edges.join(components(edges, "u_id", "v_id"), F.col("u_id") == F.col("node"))
-        largest = e.groupBy("component").count().agg(F.max("count")).first()[0]
-        if largest > SMALL_EDGES:
-            raise ValueError(f"a component has {largest} edges; raise SMALL_EDGES with the memory for it")
+        e = edges.join(components(edges, "u_id", "v_id"), F.col("u_id") == F.col("node")).select("component", "u_id", "v_id", "w")
+        large = e.groupBy("component").count().filter(F.col("count") > SMALL_EDGES).select("component").localCheckpoint()
+        for r in large.collect():
+            mine = e.filter(F.col("component") == r.component)
+            t, few = contract(mine, gamma, total, SMALL_EDGES)
+            top = t if top is None else top.unionByName(t)
+            e = e.filter(F.col("component") != r.component)
+            if few.count() > SMALL_EDGES:
+                alone = t.select(F.concat(F.lit("alone "), "top").alias("part"), F.col("top").alias("node_id"), F.lit(0).cast("long").alias("local")).distinct()
+                apart = alone if apart is None else apart.unionByName(alone)
+            else:
+                e = e.unionByName(few.select(F.lit(r.component).alias("component"), "u_id", "v_id", "w"))
         key = F.col("component")
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values(["u_id", "v_id"])
         names, code = np.unique(np.concatenate([d["u_id"].to_numpy(str), d["v_id"].to_numpy(str)]), return_inverse=True)
-        labels = leiden(code[: len(d)], code[len(d) :], d["w"].to_numpy(float), len(names), gamma)
+        labels = leiden(code[: len(d)], code[len(d) :], d["w"].to_numpy(float), len(names), gamma, total=total)
         return pd.DataFrame({"part": d["part"].iloc[0], "node_id": names, "local": labels})
 
     found = e.select(key.alias("part"), "u_id", "v_id", "w").groupBy("part").applyInPandas(run, "part string, node_id string, local long")
+    if apart is not None:
+        found = found.unionByName(apart)
+    if top is not None:
+        found = found.withColumnRenamed("node_id", "top").join(top.withColumnRenamed("node_id", "inner"), "top", "left").select("part", F.coalesce("inner", "top").alias("node_id"), "local")
     sizes = found.groupBy("part", "local").agg(F.count("*").alias("n"), F.min("node_id").alias("low"))
     ranked = sizes.withColumn("comm_id", (F.row_number().over(Window.orderBy(F.desc("n"), "low")) - 1).cast("int"))  # one row a community
     return found.join(ranked, ["part", "local"]).select("node_id", "comm_id")

@@ -9,6 +9,7 @@ from graphloom.plans import catalog  # noqa: F401
 from graphloom.plans.registry import QUERIES
 
 from graphloom.operators import extraction
+from graphloom.operators import graph as G
 
 
 def base_triples(text):
@@ -61,3 +62,30 @@ def test_components_and_merges_over_whole_tables(spark, data):
     assert {r.node: r.component for r in QUERIES["cn5_threshold_components_whole"](spark, data).collect()} == want
     names = {r.name for r in QUERIES["cn3_semantic_merge_whole"](spark, data).collect()}
     assert any(n.startswith("part ") for n in names) and any(n.startswith("supplier ") for n in names)
+
+
+def test_leiden_holds_components_to_the_whole_graph_at_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = []
+    for c, n in (("a", 60), ("b", 12), ("c", 12)):
+        for i in range(n):
+            rows += [(f"{c}{i:02d}", f"{c}{j:02d}", 3.0 if i // 6 == j // 6 else 0.2) for j in range(i + 1, n) if i // 6 == j // 6 or rng.random() < 0.05 or j == i + 1]
+    e = spark.createDataFrame(rows, "u_id string, v_id string, w double")
+    names = sorted({x for r in rows for x in r[:2]})
+    u, v = (np.array([names.index(r[k]) for r in rows]) for k in (0, 1))
+    w = np.array([r[2] for r in rows])
+
+    def run(gamma):
+        got = {r.node_id: r.comm_id for r in G.communities(e, gamma).collect()}
+        assert sorted(got) == names
+        return got, G.modularity(u, v, w, np.array([got[x] for x in names]), gamma)
+
+    groups = lambda got: {frozenset(x for x in got if got[x] == c) for c in set(got.values())}
+    for gamma in (0.2, 1.0):
+        whole, best = run(gamma)
+        monkeypatch.setattr(G, "SMALL_EDGES", 250)  # a task for each component
+        assert max(sum(r[0][0] == c for r in rows) for c in "abc") <= 250 < len(rows)
+        assert groups(run(gamma)[0]) == groups(whole)
+        monkeypatch.setattr(G, "SMALL_EDGES", 60)  # the largest is contracted first
+        assert run(gamma)[1] >= 0.97 * best
+        monkeypatch.undo()
