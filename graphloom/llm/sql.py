@@ -41,34 +41,43 @@ select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_hit, 0)::bi
 from documents d left join sized using (doc_id) left join covered using (doc_id) left join found using (doc_id) left join longest using (doc_id)
 """
 
+
+def _blank(name: str, source: str, pattern: str, least: str = "true") -> str:
+    """Texts with spaces for the matches that `least` (of ms[i] and gs[i]) holds for."""
+    return f"""{name} as (select doc_id, array_to_string(list_transform(range(1, len(ps) + 1), lambda i: ps[i] || case when i > len(ms) then '' when {least} then repeat(' ', length(ms[i])) else ms[i] end), '') as t
+  from (select doc_id, string_split_regex(t, '{pattern}') as ps, regexp_extract_all(t, '{pattern}', 0) as ms, regexp_extract_all(t, '{pattern}', {2 if "gs" in least else 0}) as gs from {source}))"""
+
+
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|x{6}|0{8}|0123456789|1234567890|abcdefgh|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+"
+
 #: Matches and the pieces between them give places; a candidate's windows are unnested and their entropies counted anew.
-OP3 = r"""
+OP3 = rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
+{_blank("b1", "d", "(?:[A-Za-z]{2,}[/_-]){3}")},
+{_blank("b2", "b1", _ASSIGN, "length(gs[i]) >= 8")},
+{_blank("b3", "b2", "AKIA[A-Z0-9]+", "length(ms[i]) >= 16")},
+{_blank("b4", "b3", "[0-9a-f]+", "length(ms[i]) >= 32")},
+{_blank("b5", "b4", _ALLOWED)},
 pat(rank, kind, least) as (values (0, 'assign', 8), (1, 'access', 16), (2, 'hex', 32), (3, 'word', 20)),
 raw as (
-  select doc_id, rank, kind, least, t,
-    case rank when 0 then regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0)
-      when 1 then regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0) when 2 then regexp_extract_all(t, '[0-9a-f]+', 0) else regexp_extract_all(t, '[A-Za-z0-9+/_=-]+', 0) end as ms,
-    case rank when 0 then string_split_regex(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
-      when 1 then string_split_regex(t, 'AKIA[A-Z0-9]+') when 2 then string_split_regex(t, '[0-9a-f]+') else string_split_regex(t, '[A-Za-z0-9+/_=-]+') end as ps,
-    case rank when 0 then regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) end as gs
-  from d, pat),
+  select doc_id, rank, kind, least,
+    case rank when 0 then regexp_extract_all(d.t, '{_ASSIGN}', 0) when 1 then regexp_extract_all(d.t, 'AKIA[A-Z0-9]+', 0) when 2 then regexp_extract_all(d.t, '[0-9a-f]+', 0) else regexp_extract_all(b5.t, '[A-Za-z0-9+/_=-]+', 0) end as ms,
+    case rank when 0 then string_split_regex(d.t, '{_ASSIGN}') when 1 then string_split_regex(d.t, 'AKIA[A-Z0-9]+') when 2 then string_split_regex(d.t, '[0-9a-f]+') else string_split_regex(b5.t, '[A-Za-z0-9+/_=-]+') end as ps,
+    case rank when 0 then regexp_extract_all(d.t, '{_ASSIGN}', 2) end as gs
+  from d join b5 using (doc_id), pat),
 each as (select doc_id, rank, kind, least, unnest(ms) as m, unnest(coalesce(gs, ms)) as g, unnest(ps[1 : len(ms)]) as p, unnest(range(len(ms))) as i from raw where len(ms) > 0),
 placed as (select doc_id, rank, kind, least, m, g, sum(length(p) + length(m)) over (partition by doc_id, rank order by i)::bigint as stop from each),
-spans as (
-  select doc_id, rank, kind, m, stop - length(m) as start, stop from placed
-  where length(g) >= least),
-base as (select doc_id, rank, kind, start, stop from spans where rank < 3),
+spans as (select doc_id, rank, kind, m, stop - length(m) as start, stop from placed where length(g) >= least),
 cand as (
-  select doc_id, m, start, stop, case when regexp_full_match(m, '[0-9a-f]+') or regexp_full_match(m, '[0-9A-F]+') then 3.0 when regexp_full_match(m, '[0-9a-z/_=+-]+') or regexp_full_match(m, '[0-9A-Z/_=+-]+') then 3.6 else 3.7 end as bits
-  from spans s where rank = 3 and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')
-    and not regexp_matches(m, '(?i)example|sample|dummy|placeholder|changeme|x{6}|0{8}|0123456789|1234567890|abcdefgh|^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^sha(?:1|256|384|512)-|(?:[A-Za-z]{2,}[/_-]){3}')
-    and not exists (select 1 from base b where b.doc_id = s.doc_id and b.start < s.stop and b.stop > s.start)),
+  select doc_id, m, start, case when regexp_full_match(m, '[0-9a-f]+') or regexp_full_match(m, '[0-9A-F]+') then 3.0 when regexp_full_match(m, '[0-9a-z/_=+-]+') or regexp_full_match(m, '[0-9A-Z/_=+-]+') then 3.6 else 3.7 end as bits
+  from spans where rank = 3 and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')),
 win as (select doc_id, start, bits, i, substring(m, i + 1, 20) as w from (select *, unnest(range(length(m) - 19)) as i from cand)),
 chars as (select doc_id, start, bits, i, unnest(string_split(w, '')) as c from win),
 ent as (select doc_id, start, bits, i, -sum(n / 20.0 * log2(n / 20.0)) as h from (select doc_id, start, bits, i, c, count(*) as n from chars group by all) group by 1, 2, 3, 4),
-added as (select doc_id, start + min(i) as start, start + max(i) + 20 as stop from (select * from ent where h >= bits) e group by doc_id, e.start),
-allspans as (select doc_id, rank, kind, start, stop from base union all select doc_id, 3, 'entropy', start, stop from added),
+hot as (select doc_id, start, start + i as a, sum(fresh) over (partition by doc_id, start order by i) as g from (select *, case when i - lag(i) over (partition by doc_id, start order by i) <= 20 then 0 else 1 end as fresh from ent where h >= bits)),
+added as (select doc_id, min(a) as start, max(a) + 20 as stop from hot h group by doc_id, h.start, g),
+allspans as (select doc_id, rank, kind, start, stop from spans where rank < 3 union all select doc_id, 3, 'entropy', start, stop from added),
 agg as (
   select doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex, count(*) filter (rank = 3) as n_entropy,
     coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < 3), '') as b, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans
