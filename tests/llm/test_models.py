@@ -66,7 +66,10 @@ def brute_classes(rows):
     return {i: root(i) for i in ids}
 
 
-def test_near_duplicate_classes_against_brute_force(spark):
+@pytest.mark.parametrize("block", [64, 3])
+def test_near_duplicate_classes_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)  # 3: leaders and buckets go in several groups
+    monkeypatch.setattr(neardup, "SLAB", 5000 if block == 3 else neardup.SLAB)
     rows = corpus() + [(1, None), (2, None), (3, ""), (4, ""), (5, "a b"), (6, "A b"), (7, "a c"), (8, "one two three four five six seven"), (9, "a a a a a a a a b b b b"), (10, "a a a a a a a a a b b b b")]
     got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute_classes([r for r in rows])
@@ -86,14 +89,43 @@ def test_near_duplicate_edges(docs, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_one_id_with_several_texts_loses_none(spark):
+    """Rows of one doc_id and different texts are documents of their own, near copies of others or not."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    d = spark.createDataFrame([(5, a), (5, b), (5, b), (6, b + " tail"), (7, c), (None, c), (None, None), (None, None), (8, None), (8, c + " end")], "doc_id long, text string")
+    of = collections.defaultdict(set)
+    for r in neardup.classes(d).join(d.select("doc_id", neardup.text_key().alias("k1"), "text").distinct(), "k1").collect():
+        of[r.text].add(r.class_id)
+    assert len(of[a]) == len(of[b]) == len(of[c]) == 1 and len(set.union(of[a], of[b], of[c])) == 3
+    assert of[b] == of[b + " tail"] and of[c] == of[c + " end"]
+    kept = [r.text for r in neardup.keep_one(d).collect()]
+    assert len(kept) == 5 and kept.count(None) == 2 and a in kept and len({x for x in kept if x} & {b, b + " tail"}) == 1
+
+
+def test_recall_of_near_pairs_on_the_drivers_rows(spark):
+    """Every pair of documents of at least 0.8 is in one class."""
+    at = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()}
+    of = {r.doc_id: r.class_id for r in neardup.op2_probminhash_classes(spark, at).collect()}
+    sets = {i: shingles(t) for i, t in texts.items() if t}
+    holders = collections.defaultdict(set)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].add(i)
+    found = []
+    for i, own in sets.items():
+        shared = collections.Counter(j for x in own for j in holders[x] if j > i)
+        found += [of[i] == of[j] for j, n in shared.items() if n >= 0.3 * max(len(own), len(sets[j])) and texts[i] != texts[j] and jaccard(own, sets[j]) >= 0.8]
+    assert len(found) >= 10 and all(found)
+
+
 def test_registers_estimate_probability_jaccard():
     a = [("x%d" % i, 1 + i % 4) for i in range(200)]
     b = [("x%d" % i, 1 + (i % 3)) for i in range(60, 260)]
-    texts = [" ".join(w for w, n in x for _ in range(n)) for x in (a, b)]
     doc, h, w = zip(*[(k, zlib.crc32(w.encode()), n) for k, x in enumerate((a, b)) for w, n in x])
     sig = neardup.registers(np.array(doc), tk.mix(np.array(h, np.uint64)), np.array(w), 2, 4096)
     x, y = collections.Counter(dict(a)), collections.Counter(dict(b))
-    assert abs((sig[0] == sig[1]).mean() - jaccard(x, y)) < 0.03 and texts
+    assert abs((sig[0] == sig[1]).mean() - jaccard(x, y)) < 0.03
     keys = sorted(set(x) | set(y))
     assert abs(neardup.probability_jaccard(np.array([x[k] for k in keys]), np.array([y[k] for k in keys])) - jaccard(x, y)) < 1e-9
 
