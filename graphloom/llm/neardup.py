@@ -141,11 +141,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_arrow(d.select("doc_id", text_key().alias("k1"), "text"), "doc_id long, k1 long, k2 long, bands array<long>", fn)
 
 
-def several_texts(keyed: DataFrame) -> DataFrame | None:
-    """doc_id and one text key of it, for ids that have different texts; None if there are none."""
-    g = keyed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("least"), F.max("k1").alias("most"))
-    found = materialize(g.filter("least != most").select("doc_id", "least"), "several")
-    return None if found.isEmpty() else found
+def repeated_ids(keyed: DataFrame) -> tuple[bool, DataFrame | None]:
+    """Whether any id (or null) has more than one row, and doc_id with one text key of it for ids of different texts."""
+    g = keyed.groupBy("doc_id").agg(F.min("k1").alias("least"), F.max("k1").alias("most"), F.count(F.lit(1)).alias("n"))
+    found = materialize(g.filter("n > 1"), "repeated")
+    several = found.filter("doc_id is not null and least != most").select("doc_id", "least")
+    return not found.isEmpty(), None if several.isEmpty() else several
 
 
 def named(keyed: DataFrame, several: DataFrame | None) -> DataFrame:
@@ -214,13 +215,17 @@ def _links(t: pa.Table, least: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def verify(members: DataFrame, docs: DataFrame, several: DataFrame | None, least: float = SIMILARITY) -> DataFrame:
+def verify(members: DataFrame, docs: DataFrame, repeated: bool, several: DataFrame | None, least: float = SIMILARITY) -> DataFrame:
     """a < b: the pairs of different comp within a group whose texts have at least this similarity.
 
     members: g (the group), side, nid, comp; side 0 is compared with side 1, and 2 with all of its group.
     """
+    # as a table its size is known, by which Spark chooses between broadcasting these narrow rows and moving texts
+    members = materialize(members, "members")
     d = only(docs, doc_id="long", text="string").withColumn("k1", text_key())
-    texts = named(d, several).join(members.select("nid").distinct(), "nid", "left_semi").select("nid", "text").dropDuplicates(["nid"])
+    texts = named(d, several).select("nid", "text")
+    if repeated:
+        texts = texts.join(members.select("nid").distinct(), "nid", "left_semi").dropDuplicates(["nid"])
     j = members.join(texts, "nid").select("g", "side", "nid", "comp", "text").repartition("g").sortWithinPartitions("g", "side", "nid")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +300,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, k1, nid, class_id: the least id among the documents it is linked to, directly or by way of others."""
     sig = materialize(signatures(docs), "signatures")
-    several = several_texts(sig)
+    repeated, several = repeated_ids(sig)
     ided = named(sig, several)
     reps = materialize(ided.groupBy("k1", "k2").agg(F.min("nid").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
     rows = ided.select("doc_id", "nid", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "k1", "nid", "rep")
@@ -303,7 +308,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     shared = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("other")).filter("leader < other")
     crowded = materialize(buckets.join(shared.select("key", "leader"), "key"), "buckets")
     first = materialize(crowded.filter("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = materialize(verify(leader_groups(first), docs, several, least), "links")
+    links = materialize(verify(leader_groups(first), docs, repeated, several, least), "links")
     comp = components(links)
     # nodes of one bucket that are still apart
     apart = crowded.join(comp.toDF("rep", "c"), "rep", "left").select("key", "leader", "rep", F.coalesce("c", "rep").alias("c"))
@@ -313,7 +318,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     x, y = few.select("key", "leader", F.col("rep").alias("a"), F.col("c").alias("ca")), few.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
     more = x.join(y, "key").filter("a < b and ca != cb and a != leader").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     groups = leader_groups(materialize(more, "pairs")).unionByName(block_groups(rest.filter(F.col("n") > BLOCK)))
-    late = materialize(verify(groups, docs, several, least), "links")
+    late = materialize(verify(groups, docs, repeated, several, least), "links")
     if not late.isEmpty():
         comp = components(links.unionByName(late))
     return rows.join(comp.toDF("rep", "c"), "rep", "left").select("doc_id", "k1", "nid", F.coalesce("c", "rep").alias("class_id"))
