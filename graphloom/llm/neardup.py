@@ -220,12 +220,12 @@ def verify(members: DataFrame, docs: DataFrame, repeated: bool, several: DataFra
 
     members: g (the group), side, nid, comp; side 0 is compared with side 1, and 2 with all of its group.
     """
-    # as a table its size is known, by which Spark chooses between broadcasting these narrow rows and moving texts
-    members = materialize(members, "members")
+    # members grow with the documents, so they are never broadcast, on small data neither
+    members = members.hint("merge")
     d = only(docs, doc_id="long", text="string").withColumn("k1", text_key())
     texts = named(d, several).select("nid", "text")
     if repeated:
-        texts = texts.join(members.select("nid").distinct(), "nid", "left_semi").dropDuplicates(["nid"])
+        texts = texts.join(members.select("nid").distinct().hint("merge"), "nid", "left_semi").dropDuplicates(["nid"])
     j = members.join(texts, "nid").select("g", "side", "nid", "comp", "text").repartition("g").sortWithinPartitions("g", "side", "nid")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
