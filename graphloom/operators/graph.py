@@ -3,35 +3,17 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import rules as R
-from .relational import cosine, ends
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, as in tests, a temporary folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="graphloom-graph-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+from .relational import dot, ends, unit_vector
+from .shared import discard, materialize
 
 
 def directed_edges(triples: DataFrame) -> DataFrame:
@@ -49,7 +31,7 @@ def pair_edges(triples: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """node, component (its least node), by alternating large and small stars; each round is written to the shared folder."""
     nodes = edges.select(F.explode(F.array(a, b)).alias("node")).distinct()
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     mark = lambda x: tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = mark(e)
     for _ in range(most_rounds):
@@ -60,8 +42,9 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = lambda x, y: F.struct(F.col(x).alias("u"), F.col(y).alias("v"))
-        e = cut(large.join(least, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("x")).select("x.*").filter("u <> v").distinct())
+        done, e = e, materialize(large.join(least, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("x")).select("x.*").filter("u <> v").distinct())
         after = mark(e)
+        discard(done)
         if after == before:
             break
         before = after
@@ -86,8 +69,9 @@ def conceptness(edges: DataFrame, mentions: DataFrame, embeddings: DataFrame, to
     near = both.groupBy("e", "n").agg(F.sum("weight").alias("w"))
     degree = near.groupBy("e").agg(F.sum("w").alias("weighted_degree"))
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("e").orderBy(F.desc("w"), "n"))).filter(f"r <= {top}")
-    a, b = embeddings.toDF("e", "ea"), embeddings.toDF("n", "eb")
-    sims = best.join(a, "e").join(b, "n").groupBy("e").agg(F.avg(F.coalesce(cosine(F.col("ea"), F.col("eb")), F.lit(0.0))).alias("cohesion"), F.count("*").alias("neighbor_count"))
+    unit = embeddings.toDF("e", "v").select("e", unit_vector(F.col("v")).alias("ea"))
+    a, b = unit, unit.toDF("n", "eb")
+    sims = best.select("e", "n").join(a, "e").join(b, "n").groupBy("e").agg(F.avg(F.coalesce(dot(F.col("ea"), F.col("eb")), F.lit(0.0))).alias("cohesion"), F.count("*").alias("neighbor_count"))
     d = degree.join(sims, "e", "left").join(mentions.toDF("e", "mention_count"), "e", "left")
     zero = lambda c, x=0: F.coalesce(c, F.lit(x))
     support = F.log1p(zero("mention_count")) + F.log1p("weighted_degree")
@@ -217,12 +201,12 @@ def contract(edges: DataFrame, gamma: float, total: float, most: int) -> tuple[D
         near = both.filter("u_id <> v_id").groupBy("u_id", "v_id").agg(F.sum("w").alias("w")).join(k, "u_id").join(k.toDF("v_id", "k2"), "v_id")
         gain = near.withColumn("gain", F.round(F.col("w") - F.lit(gamma / total) * F.col("k") * F.col("k2"), 9)).filter("gain > 0")
         best = gain.groupBy("u_id").agg(F.max_by("v_id", F.struct("gain", F.xxhash64(F.least("u_id", "v_id"), F.greatest("u_id", "v_id")))).alias("to"))
-        pairs = best.join(best.toDF("to", "back"), "to").filter("back = u_id and to < u_id").select("u_id", "to").localCheckpoint()
+        pairs = materialize(best.join(best.toDF("to", "back"), "to").filter("back = u_id and to < u_id").select("u_id", "to"), "merges")
         if pairs.isEmpty():
             break
         low = lambda d, c: d.join(pairs.toDF(c, "_to"), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")  # noqa: E731, B023
-        e = low(low(e, "u_id"), "v_id").select(F.least("u_id", "v_id").alias("u_id"), F.greatest("u_id", "v_id").alias("v_id"), "w").groupBy("u_id", "v_id").agg(F.sum("w").alias("w")).localCheckpoint()
-        top = low(top, "top").localCheckpoint()
+        e = materialize(low(low(e, "u_id"), "v_id").select(F.least("u_id", "v_id").alias("u_id"), F.greatest("u_id", "v_id").alias("v_id"), "w").groupBy("u_id", "v_id").agg(F.sum("w").alias("w")), "contracted")
+        top = materialize(low(top, "top"), "tops")
     return top, e
 
 
@@ -235,8 +219,8 @@ def communities(edges: DataFrame, gamma: float = 1.0) -> DataFrame:
     key: Column = F.lit("all")
     e, top, apart = edges, None, None
     if n > SMALL_EDGES:
-        e = edges.join(components(edges, "u_id", "v_id"), F.col("u_id") == F.col("node")).select("component", "u_id", "v_id", "w")
-        large = e.groupBy("component").count().filter(F.col("count") > SMALL_EDGES).select("component").localCheckpoint()
+        e = materialize(edges.join(components(edges, "u_id", "v_id"), F.col("u_id") == F.col("node")).select("component", "u_id", "v_id", "w"), "parts")
+        large = e.groupBy("component").count().filter(F.col("count") > SMALL_EDGES).select("component")
         for r in large.collect():
             mine = e.filter(F.col("component") == r.component)
             t, few = contract(mine, gamma, total, SMALL_EDGES)
@@ -337,9 +321,11 @@ def traverse(edges: DataFrame, flags: DataFrame, seeds: DataFrame, members: Data
         e = e.join(both, ["s", "p", "o"], "left_semi")
         inside = ends(scoped_edges, out="node_id").distinct()
         seeds = seeds.join(inside, "node_id", "left_semi")
-    reach = k_hop(e, seeds, max_hops)
-    best = best_out_edges(e)
-    same = edges.groupBy("s", "o", "label").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunks")))).alias("chunks"))
+    reach = materialize(k_hop(e, seeds, max_hops), "reach")
+    # edges out of what can be reached are all that a walk may take, so only these are ranked
+    near = reach.select(F.col("node_id").alias("s")).distinct()
+    best = best_out_edges(e.join(near, "s", "left_semi"))
+    same = edges.join(near, "s", "left_semi").groupBy("s", "o", "label").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunks")))).alias("chunks"))
     best = best.drop("chunks").join(same, ["s", "o", "label"])
     words = F.array_distinct(F.regexp_extract_all(F.lower("label"), F.lit("[a-z]+"), F.lit(0)))
     n_words = F.greatest(F.size("words"), F.lit(1))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import materialize
+
 #: Ids up to this many are a set in the plan; more are joined.
 IN_SET = 1000
 
@@ -49,13 +51,32 @@ def best_per_pair(triples: DataFrame, s: str, p: str, o: str, tie: str, mode: st
     return d.withColumn("_rank", rank).filter("_rank = 1").drop("_support", "_rank").unionByName(none)
 
 
+def global_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:
+    """df with each row's place from 1 in this order.  Rows are split into ranges, ranked within each, and moved up by the
+    counts of the ranges before: no task sorts all rows."""
+    placed = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = placed.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    r = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return placed.withColumn("_r", r).join(F.broadcast(base), "_p").withColumn(out, (F.col("_r") + F.col("_base")).cast("long")).drop("_p", "_r", "_base")
+
+
 def either_end(triples: DataFrame, members: DataFrame, node: str = "node_id") -> DataFrame:
     """triples joined to members ON s = node OR o = node, as two equi-joins: the disjunction alone would be a nested loop."""
     return triples.join(members, F.col("s") == F.col(node)).unionByName(triples.join(members, F.col("o") == F.col(node)))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def unit_vector(v: Column) -> Column:
+    """v at length one; null if it has none, so that what is measured against many vectors is scaled once."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.get(F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))), F.lit(0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Null if either norm is zero."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.try_divide(dot, norm(a) * norm(b))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))

@@ -106,7 +106,9 @@ def select_context(report: DataFrame, walk: DataFrame, vector: DataFrame, most:
     one = report.filter(F.col("rank") < keep_report).groupBy("chunk_id").agg(F.min("rank").alias("rank"))
     first = one.select("chunk_id", F.lit(1).alias("tier"), (-F.col("rank")).cast("double").alias("key"), (1.0 - F.col("rank") * 0.05).alias("score"))
     w = walk.groupBy("chunk_id").agg(F.min("step").alias("step")).select("chunk_id", F.greatest(F.lit(0.5), 1.0 - F.col("step") * 0.02).alias("s"))
-    fresh = w.join(one, "chunk_id", "left_anti").withColumn("r", F.row_number().over(Window.orderBy(F.desc("s"), "chunk_id")))  # a walk's chunks are capped
+    # of a longer walk none past `most` can have a place, so that the windows here see few rows
+    fresh = w.join(one, "chunk_id", "left_anti").orderBy(F.desc("s"), "chunk_id").limit(max(most, keep_walk))
+    fresh = fresh.withColumn("r", F.row_number().over(Window.orderBy(F.desc("s"), "chunk_id")))
     second = fresh.select("chunk_id", F.when(F.col("r") <= keep_walk, 2).otherwise(4).alias("tier"), F.col("s").alias("key"), F.when(F.col("r") <= keep_walk, F.col("s")).otherwise(F.col("s") * 0.8).alias("score"))
     third = vector.select("chunk_id", F.lit(3).alias("tier"), (-F.col("rank")).cast("double").alias("key"), (0.8 - F.col("rank") * 0.02).alias("score"))
     best = first.unionByName(second).unionByName(third).groupBy("chunk_id").agg(F.min(F.struct("tier", (-F.col("key")).alias("k"), "score")).alias("x"))

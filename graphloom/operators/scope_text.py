@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .aliases import AUTHOR_ALIASES, AUTHORS, DOMAIN_ALIASES, TRADITION_ALIASES, WORK_ALIASES
+from .aliases import EXAMPLE, Names
 
 
 def _quoted(x: str) -> str:
@@ -23,26 +23,26 @@ def _found(text: Column, table: dict[str, str], before: str = r"\b", after: str
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
 
-def authors(question: Column, aliases: dict[str, str] = AUTHOR_ALIASES, known: tuple[str, ...] = AUTHORS) -> Column:
+def authors(question: Column, names: Names = EXAMPLE) -> Column:
     """By alias, by full name after in, by, from, for or according to, or by part of a name there (the shortest that fits)."""
     low = F.lower(question)
     named = F.regexp_extract_all(question, F.lit(r"\b(?:in|according to|by|from|for)\s+([A-Z][a-zà-ÿ]+(?:\s+[A-Z][a-zà-ÿ]+)*)"), F.lit(1))
-    ordered = F.array(*map(F.lit, sorted(known, key=lambda x: (len(x), x))))
+    ordered = F.array(*map(F.lit, sorted(names.known, key=lambda x: (len(x), x))))
     resolve = lambda n: F.get(F.filter(ordered, lambda a: F.lower(a).contains(F.lower(n))), 0)
-    partial = F.filter(F.transform(named, lambda n: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)), F.lower(n)), resolve(n))), lambda x: x.isNotNull())
-    return F.array_sort(F.array_distinct(F.concat(_found(low, aliases), partial)))
+    partial = F.filter(F.transform(named, lambda n: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.authors.items() for x in kv)), F.lower(n)), resolve(n))), lambda x: x.isNotNull())
+    return F.array_sort(F.array_distinct(F.concat(_found(low, names.authors), partial)))
 
 
-def works(question: Column) -> Column:
-    return _found(F.lower(question), WORK_ALIASES, before=r"\b(?:in|from)\s+(?:the\s+)?")
+def works(question: Column, names: Names = EXAMPLE) -> Column:
+    return _found(F.lower(question), names.works, before=r"\b(?:in|from)\s+(?:the\s+)?")
 
 
-def traditions(question: Column) -> Column:
-    return _found(F.lower(question), TRADITION_ALIASES)
+def traditions(question: Column, names: Names = EXAMPLE) -> Column:
+    return _found(F.lower(question), names.traditions)
 
 
-def domains(question: Column) -> Column:
-    nouns = {a: n for a, n in DOMAIN_ALIASES.items() if not a.endswith("al")}
-    adjectives = {a: n for a, n in DOMAIN_ALIASES.items() if a.endswith("al")}
+def domains(question: Column, names: Names = EXAMPLE) -> Column:
+    nouns = {a: n for a, n in names.domains.items() if not a.endswith("al")}
+    adjectives = {a: n for a, n in names.domains.items() if a.endswith("al")}
     low = F.lower(question)
     return F.array_sort(F.array_union(_found(low, nouns, before=r"\b(?:about|on|concerning|regarding)\s+"), _found(low, adjectives, after=r"\s+(?:question|issue|problem|view)")))

@@ -87,7 +87,7 @@ class Views:
 
     @cached_property
     def reports(self) -> DataFrame:
-        d = self.chunks.filter("doc_id < 100 and doc_id % 10 <> 9").groupBy((F.col("doc_id") % 10).cast("int").alias("comm_id")).agg(F.array_sort(F.collect_list("chunk_id")).alias("cited"))
+        d = self.chunks.filter("doc_id % 10 <> 9").groupBy((F.col("doc_id") % 10).cast("int").alias("comm_id")).agg(F.array_sort(F.collect_list("chunk_id")).alias("cited"))
         v = self.table("embeddings").filter("vec_id between 10 and 19").select((F.col("vec_id") - 10).cast("int").alias("comm_id"), _vector().alias("report_embedding"))
         return v.join(d, "comm_id", "left").select("comm_id", F.concat(F.lit("report "), "comm_id").alias("report_text"), "report_embedding", F.coalesce("cited", F.expr("cast(array() as array<string>)")).alias("cited_chunk_ids"))
 
@@ -129,7 +129,7 @@ comms as (
   from (select comm_id, list(node_id order by node_id) as node_ids from mem group by comm_id) m left join embeddings v on v.vec_id = m.comm_id),
 reports as (
   select (v.vec_id - 10)::int as comm_id, 'report ' || (v.vec_id - 10) as report_text, v.embedding::double[] as report_embedding, coalesce(c.cited, []::varchar[]) as cited_chunk_ids
-  from embeddings v left join (select doc_id % 10 as comm_id, list(chunk_id order by chunk_id) as cited from chunks where doc_id < 100 and doc_id % 10 <> 9 group by 1) c on c.comm_id = v.vec_id - 10
+  from embeddings v left join (select doc_id % 10 as comm_id, list(chunk_id order by chunk_id) as cited from chunks where doc_id % 10 <> 9 group by 1) c on c.comm_id = v.vec_id - 10
   where v.vec_id between 10 and 19),
 qv as (select embedding::double[] as q from embeddings where vec_id = 0)
 """

@@ -26,10 +26,9 @@ def _(v):
     return e.join(F.broadcast(v.qv)).select("vec_id", F.round(cosine(F.col("e"), F.col("q")), 6).alias("score"))
 
 
-@query("jo21_edge_cosines", "select s, o, round(list_cosine_similarity(a.embedding, b.embedding), 6)::double as score from (select distinct s, o from tg where chunk_id like '%7') join ee a on a.entity = s join ee b on b.entity = o")
+@query("jo21_edge_cosines", "select s, o, round(list_cosine_similarity(a.embedding, b.embedding), 6)::double as score from (select distinct s, o from tg) join ee a on a.entity = s join ee b on b.entity = o")
 def _(v):
-    e = v.tg.filter("chunk_id like '%7'").select("s", "o").distinct()
-    j = e.join(v.ee.toDF("s", "ea"), "s").join(v.ee.toDF("o", "eb"), "o")
+    j = v.tg.select("s", "o").distinct().join(v.ee.toDF("s", "ea"), "s").join(v.ee.toDF("o", "eb"), "o")
     return j.select("s", "o", F.round(cosine(F.col("ea"), F.col("eb")), 6).alias("score"))
 
 
@@ -158,9 +157,9 @@ def _(v):
     return p.select("p", "n", F.coalesce(X.canonical_predicate(F.col("p")), F.col("p")).alias("canon"))
 
 
-@query("cn4_pair_keys", "select distinct least(s, o) as a, greatest(s, o) as b from tg where chunk_id like '%5'")
+@query("cn4_pair_keys", "select distinct least(s, o) as a, greatest(s, o) as b from tg")
 def _(v):
-    return v.tg.filter("chunk_id like '%5'").select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
+    return v.tg.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
 
 
 @query("em2_entities_pending", "select node_id from nodes where node_id not in (select entity from ee)")

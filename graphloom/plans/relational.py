@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import rules as R
-from ..operators.relational import best_per_pair, by_ids, either_end, ends, upsert
+from ..operators.relational import best_per_pair, by_ids, either_end, ends, global_rank, upsert
 from .registry import query
 
 L = lambda c: F.col(c).cast("long")
@@ -130,14 +130,18 @@ def _(v):
     return v.files.join(v.chunks, "text_id").groupBy("title", "author_source").agg(F.count_distinct("chunk_id").alias("n_chunks"))
 
 
-@query("jo14_provenance_scan", "select e.node_id, c.chunk_id from (select s as node_id, chunk_id from tg) e join chunks c using (chunk_id) order by 1, 2 limit 5000")
+#: The reference's limit on a scan.
+SCAN = 50_000
+
+
+@query("jo14_provenance_scan", f"select e.node_id, c.chunk_id from (select s as node_id, chunk_id from tg) e join chunks c using (chunk_id) order by 1, 2 limit {SCAN}")
 def _(v):
-    return v.tg.select(F.col("s").alias("node_id"), "chunk_id").join(v.chunks.select("chunk_id"), "chunk_id").select("node_id", "chunk_id").orderBy("node_id", "chunk_id").limit(5000)
+    return v.tg.select(F.col("s").alias("node_id"), "chunk_id").join(v.chunks.select("chunk_id"), "chunk_id").select("node_id", "chunk_id").orderBy("node_id", "chunk_id").limit(SCAN)
 
 
-@query("jo15_communities_reports", "select c.comm_id, c.size, r.report_text, array_to_string(c.top_terms, ',') as terms from comms c left join (select * from reports where comm_id < 6) r using (comm_id)")
+@query("jo15_communities_reports", "select c.comm_id, c.size, r.report_text, array_to_string(c.top_terms, ',') as terms from comms c left join reports r using (comm_id)")
 def _(v):
-    return v.comms.join(v.reports.filter("comm_id < 6").select("comm_id", "report_text"), "comm_id", "left").select("comm_id", "size", "report_text", F.array_join(F.slice("top_terms", 1, 10), ",").alias("terms"))
+    return v.comms.join(v.reports.select("comm_id", "report_text"), "comm_id", "left").select("comm_id", "size", "report_text", F.array_join(F.slice("top_terms", 1, 10), ",").alias("terms"))
 
 
 @query("jo16_entity_community", "select node_id, comm_id from nodes left join (select node_id, comm_id from mem where comm_id <> 3) using (node_id)")
@@ -426,12 +430,12 @@ def _(v):
     return v.tg.join(v.chunks.filter(F.col("text_id").isin(1, 4)).select("chunk_id"), "chunk_id", "left_semi").select("s", "o", "p").distinct()
 
 
-@query("so5_ordered_concat", "select chunk_id, row_number() over (order by k) as place from (select chunk_id, min(k) as k from (select chunk_id, doc_id as k from chunks where doc_id % 3 = 0 and doc_id < 300 union all select chunk_id, 1000000 + doc_id from chunks where doc_id % 2 = 0 and doc_id < 300) group by 1)")
+@query("so5_ordered_concat", "select chunk_id, row_number() over (order by k) as place from (select chunk_id, min(k) as k from (select chunk_id, doc_id as k from chunks where doc_id % 3 = 0 union all select chunk_id, 1000000000 + doc_id from chunks where doc_id % 2 = 0) group by 1)")
 def _(v):
-    a = v.chunks.filter("doc_id % 3 = 0 and doc_id < 300").select("chunk_id", F.lit(0).alias("list"), "doc_id")
-    b = v.chunks.filter("doc_id % 2 = 0 and doc_id < 300").select("chunk_id", F.lit(1).alias("list"), "doc_id")
+    a = v.chunks.filter("doc_id % 3 = 0").select("chunk_id", F.lit(0).alias("list"), "doc_id")
+    b = v.chunks.filter("doc_id % 2 = 0").select("chunk_id", F.lit(1).alias("list"), "doc_id")
     first = a.unionByName(b).groupBy("chunk_id").agg(F.min(F.struct("list", "doc_id")).alias("at"))
-    return first.select("chunk_id", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))  # context lists are short
+    return global_rank(first, ["at"], "place").select("chunk_id", "place")
 
 
 @query("so6_leakage", "select count(*) as leaked from (select chunk_id from chunks where text_id in (1, 4, 5) except all select chunk_id from chunks where text_id in (1, 4))")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import retrieval as T
-from ..operators.relational import ends
+from ..operators.relational import ends, global_rank
 from .registry import query
 
 SCOPE = T.Scope(authors=("src0", "src3"))
@@ -62,9 +62,9 @@ def _(v):
     return T.Scope(authors=("src0", "src3", "src7"), domains=("en", "fr")).texts(v.files)
 
 
-@query("fi19_scope_filter_ranked", f"with {_INSIDE} select chunk_id, doc_id as rank from chunks where doc_id < 200 and chunk_id in (select chunk_id from inside)")
+@query("fi19_scope_filter_ranked", f"with {_INSIDE} select chunk_id, doc_id as rank from chunks where chunk_id in (select chunk_id from inside)")
 def _(v):
-    ranked = v.chunks.filter("doc_id < 200").select("chunk_id", F.col("doc_id").alias("rank"))
+    ranked = v.chunks.select("chunk_id", F.col("doc_id").alias("rank"))
     return ranked.join(SCOPE.chunks(v.files, v.chunks), "chunk_id", "left_semi")
 
 
@@ -99,19 +99,20 @@ def _(v):
     return _r(T.seeds(c, flags, v.mem, F.array(F.lit("part")), [1, 2])).select("node_id", "score")
 
 
-_FUSED = f"""with {_SCORED}, vec as (select chunk_id, score from scored order by score desc, chunk_id limit 15), g as (select chunk_id, position as step from chunks where doc_id < 40)
+_FUSED = f"""with {_SCORED}, vec as (select chunk_id, score from scored order by score desc, chunk_id limit 15), g as (select chunk_id, position as step from chunks)
 select chunk_id, round(coalesce(vec.score * 0.6, 0) + coalesce(0.4 / (1 + step * 0.1), 0), 6)::double as score, case when vec.score is null then 'graph' when step is null then 'vector' else 'both' end as source
 from vec full join g using (chunk_id) order by 2 desc, 1 limit 30"""
 
 
 @query("rt5_fusion", _FUSED)
 def _(v):
-    g = v.chunks.filter("doc_id < 40").select("chunk_id", F.col("position").alias("step"))
+    g = v.chunks.select("chunk_id", F.col("position").alias("step"))
     return _r(T.fuse(T.vector_top_k(v.ec, v.qv, 15), g))
 
 
 @query("rt6_context_selection", f"""with {_SCORED}, vec as (select chunk_id, (row_number() over (order by score desc, chunk_id))::double - 1.0 as rank from scored order by score desc, chunk_id limit 15),
-rep as (select chunk_id, (doc_id // 9)::double as rank from chunks where doc_id % 9 = 0 and doc_id < 200), walk as (select chunk_id, doc_id as step from chunks where doc_id < 30),
+near as (select comm_id, list_cosine_similarity(report_embedding, q) as s, cited_chunk_ids as c from reports, qv order by s desc, comm_id limit 5),
+cites as (select s, comm_id, unnest(c) as chunk_id, unnest(range(len(c))) as pos from near), rep as (select chunk_id, (row_number() over (order by s desc, comm_id, pos))::double - 1.0 as rank from cites), walk as (select chunk_id, position - 1 as step from chunks),
 one as (select chunk_id, 1 as tier, rank as k, 1.0 - rank * 0.05 as score from rep where rank < 8),
 w as (select chunk_id, greatest(0.5, 1.0 - step * 0.02) as s from walk where chunk_id not in (select chunk_id from one)), wr as (select *, row_number() over (order by s desc, chunk_id) as r from w),
 allc as (select * from one union all select chunk_id, case when r <= 12 then 2 else 4 end, -s, case when r <= 12 then s else s * 0.8 end from wr union all select chunk_id, 3, rank, 0.8 - rank * 0.02 from vec),
@@ -120,8 +121,9 @@ select chunk_id, round(score, 6)::double as score, tier::int as tier, place::int
 def _(v):
     vec = T.vector_top_k(v.ec, v.qv, 15)
     vec = vec.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")) - 1)  # fifteen rows
-    rep = v.chunks.filter("doc_id % 9 = 0 and doc_id < 200").select("chunk_id", F.expr("doc_id div 9").alias("rank"))
-    walk = v.chunks.filter("doc_id < 30").select("chunk_id", F.col("doc_id").alias("step"))
+    cites = T.report_top_k(v.reports, v.qv, 5).select("score", "comm_id", F.posexplode("cited").alias("pos", "chunk_id"))
+    rep = cites.orderBy(F.desc("score"), "comm_id", "pos").limit(8).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "comm_id", "pos")) - 1)  # eight rows
+    walk = v.chunks.select("chunk_id", (F.col("position") - 1).alias("step"))
     return _r(T.select_context(rep, walk, vec.select("chunk_id", "rank")))
 
 
@@ -132,9 +134,9 @@ def _(v):
 
 
 @query("rt8_citations", """with e as (select distinct chunk_id, n from (select chunk_id, s as n from tg union all select chunk_id, o from tg)), m as (select e.chunk_id, string_agg(e.n, ',' order by e.n) as entities, arg_min(comm_id, e.n) filter (comm_id is not null) as comm_id from e left join mem on e.n = node_id group by 1)
-select doc_id as rank, chunk_id, case when length(content) > 300 then left(content, 300) || '...' else content end as preview, title, author_source, coalesce(entities, '') as entities, comm_id from chunks left join files using (text_id) left join m using (chunk_id) where doc_id < 60""")
+select doc_id as rank, chunk_id, case when length(content) > 300 then left(content, 300) || '...' else content end as preview, title, author_source, coalesce(entities, '') as entities, comm_id from chunks left join files using (text_id) left join m using (chunk_id)""")
 def _(v):
-    ids = v.chunks.filter("doc_id < 60").select("chunk_id", F.col("doc_id").alias("rank"))
+    ids = v.chunks.select("chunk_id", F.col("doc_id").alias("rank"))
     return T.citations(ids, v.chunks, v.files, v.tg, v.mem).withColumn("entities", F.array_join("entities", ","))
 
 
@@ -154,7 +156,10 @@ def _(v):
 def _(v):
     from .engine import KnowledgeEngine
 
-    q = v.spark.createDataFrame([(1, "What part does supplier one depend on?", 0), (2, "Which supplier returned parts?", 3)], "query_id long, question string, vec_id long")
+    # the query set: first user turns of conversations whose id is divisible by 20
+    n = F.broadcast(v.table("embeddings").agg(F.count("*").alias("n")))
+    first = v.msgs.filter("role = 'user' and conv_id % 20 = 0").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    q = first.join(n).select(F.col("conv_id").alias("query_id"), "question", (F.col("conv_id") % F.col("n")).alias("vec_id"))
     return KnowledgeEngine(v).answer(q)
 
 
@@ -198,9 +203,9 @@ def _(v):
     return v.chunks.select("chunk_id").join(v.ec.select("chunk_id"), "chunk_id", "left_anti")
 
 
-@query("sr5_sequence", "select event_id, row_number() over (order by ts, event_id) as seq from events where event_id < 500")
+@query("sr5_sequence", "select event_id, row_number() over (order by ts, event_id) as seq from events")
 def _(v):
-    return v.table("events").filter("event_id < 500").select("event_id", F.row_number().over(Window.orderBy("ts", "event_id")).cast("long").alias("seq"))
+    return global_rank(v.table("events").select("event_id", "ts"), ["ts", "event_id"], "seq").select("event_id", "seq")
 
 
 # --- control plane ----------------------------------------------------------------------------------------------------
@@ -275,5 +280,4 @@ def _(v):
     from ..operators.canonical import canonicalize
 
     n = ends(v.tg).groupBy("entity").agg(F.count("*").alias("n")).filter("n >= 2")
-    terms = v.ee.join(n, "entity").select(F.col("entity").alias("name"), "n", "embedding").filter("name like 'supplier%'")
-    return canonicalize(terms, 0.92)
+    return canonicalize(v.ee.join(n, "entity").select(F.col("entity").alias("name"), "n", "embedding"), 0.92)

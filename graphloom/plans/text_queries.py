@@ -273,9 +273,13 @@ def _(v):
     return d.select("doc_id", F.round(X.fuzzy_presence(F.concat(F.get(F.split("text", " "), 1), F.lit("x")), F.left("text", F.lit(400))), 6).alias("ratio"))
 
 
-@query("st25_context_format", "select string_agg('[' || i || '] ' || left(content, 40), chr(10) order by i) as context from (select row_number() over (order by doc_id) as i, content from chunks where doc_id < 12)")
+@query("st25_context_format", """with s as (select chunk_id, list_cosine_similarity(embedding, q) as score from ec, qv), t as (select * from s where chunk_id in (select chunk_id from chunks) order by score desc, chunk_id limit 12)
+select string_agg('[' || i || '] ' || left(content, 40), chr(10) order by i) as context from (select row_number() over (order by score desc, chunk_id) as i, content from t join chunks using (chunk_id))""")
 def _(v):
-    c = v.chunks.filter("doc_id < 12").agg(F.array_sort(F.collect_list(F.struct("doc_id", "content"))).alias("a"))
+    from ..operators.retrieval import scoped_vector_top_k
+
+    top = scoped_vector_top_k(v.ec, v.chunks.select("chunk_id"), v.qv, 12)  # a context is a few chunks
+    c = top.join(v.chunks.select("chunk_id", "content"), "chunk_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "chunk_id", "content"))).alias("a"))
     return c.select(F.array_join(F.transform("a", lambda x, i: F.concat(F.lit("["), i + 1, F.lit("] "), F.left(x["content"], F.lit(40)))), "\n").alias("context"))
 
 

@@ -53,14 +53,14 @@ def base_components(pairs):
 
 def test_components_and_merges_over_whole_tables(spark, data):
     lines = duckdb.sql(f"select distinct 'supplier ' || l_suppkey, 'part ' || l_partkey from '{data}/lineitem.parquet'").fetchall()
-    assert {r.node: r.component for r in QUERIES["gr7_components_whole"](spark, data).collect()} == base_components(lines)
+    assert {r.node: r.component for r in QUERIES["gr7_components"](spark, data).collect()} == base_components(lines)
     ids, vectors = zip(*duckdb.sql(f"select vec_id, embedding from '{data}/embeddings.parquet' order by 1").fetchall(), strict=True)
     x = np.array(vectors, float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     a, b = np.nonzero(np.triu(x @ x.T >= 0.35, 1))
     want = base_components([(ids[i], ids[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
-    assert {r.node: r.component for r in QUERIES["cn5_threshold_components_whole"](spark, data).collect()} == want
-    names = {r.name for r in QUERIES["cn3_semantic_merge_whole"](spark, data).collect()}
+    assert {r.node: r.component for r in QUERIES["cn5_threshold_components"](spark, data).collect()} == want
+    names = {r.name for r in QUERIES["cn3_semantic_merge"](spark, data).collect()}
     assert any(n.startswith("part ") for n in names) and any(n.startswith("supplier ") for n in names)
 
 
