@@ -57,6 +57,14 @@ class HashEmbedder:
         return out
 
 
+#: Triples that a judge is shown at once.
+JUDGED = 15
+
+
+def _judged(model: Extractor, found: list[tuple[str, str, str]]) -> list[bool | None]:
+    return [x for i in range(0, len(found), JUDGED) for x in model.keep(found[i : i + JUDGED])]
+
+
 EXTRACTED = "kind string, chunk_id string, n int, subject string, predicate string, object string, reason string"
 
 
@@ -72,9 +80,9 @@ def extract(chunks: DataFrame, make: Callable[[], Extractor] = OfflineExtractor)
             rows = []
             for i, text in zip(d["chunk_id"], d["content"], strict=True):
                 found = model.triples(text)
-                verdict = model.keep(found)
+                verdict = _judged(model, found)
                 open_ = [k for k, x in enumerate(verdict) if x is None]
-                for k, x in zip(open_, model.keep([found[k] for k in open_]) if open_ else [], strict=True):
+                for k, x in zip(open_, _judged(model, [found[k] for k in open_]), strict=True):
                     verdict[k] = x
                 rows += [("triple" if x else "rejection", i, k, *t, None if x else "judge" if x is False else "no_verdict") for k, (t, x) in enumerate(zip(found, verdict, strict=True))]
             yield pd.DataFrame(rows, columns=["kind", "chunk_id", "n", "subject", "predicate", "object", "reason"])
@@ -85,8 +93,9 @@ def extract(chunks: DataFrame, make: Callable[[], Extractor] = OfflineExtractor)
     return e.select(F.when(why.isNull(), "triple").otherwise("rejection").alias("kind"), "chunk_id", "n", "subject", "predicate", "object", why.alias("reason")).unionByName(skips)
 
 
-def embed(rows: DataFrame, ids: str, text: str, make: Callable[[], Embedder] = HashEmbedder, batch: int = 100, longest: int = 8000) -> DataFrame:
-    """ids and embedding; texts on one line and cut to the model's longest input."""
+def embed(rows: DataFrame, ids: str, text: str, make: Callable[[], Embedder] = HashEmbedder, batch: int = 100, longest: int | None = 8000) -> DataFrame:
+    """ids and embedding; texts on one line and cut to the model's longest input (`longest` characters, as the engine this
+    follows does; None for no cut)."""
     kind = dict(rows.dtypes)[ids]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -88,6 +88,7 @@ def node_flags(nodes: DataFrame, edges: DataFrame, scores: DataFrame | None = No
     f = f.withColumn("hub", F.col("degree") > F.greatest(F.lit(10), F.floor(F.col("n") * hub_pct)))
     strong = mild = F.lit(True)
     if scores is not None:
+        scores = materialize(scores.select("entity_id", "conceptness", "support"), "scores")  # read twice
         cutoff = scores.agg(F.percentile("conceptness", percentile).alias("t"))
         f = f.join(scores.select(F.col("entity_id").alias("node_id"), "conceptness", F.col("support").alias("sup")), "node_id", "left").join(F.broadcast(cutoff))
         sure = F.coalesce("sup", F.lit(0.0)) >= min_support
@@ -309,11 +310,12 @@ def best_first(candidates: pd.DataFrame, seeds: list[str], info: dict[str, tuple
 STEPS = "query_id long, step int, node_id string, from_node_id string, label string, depth int, score double, chunks array<string>"
 
 
-def traverse(edges: DataFrame, flags: DataFrame, seeds: DataFrame, members: DataFrame, targets: DataFrame, query_words: DataFrame, max_hops: int = 2, max_nodes: int = 50, seed_cap: int = 20, beam: int = 25, max_chunks: int = 120, scoped_edges: DataFrame | None = None, restrict: bool = False) -> DataFrame:
+def traverse(edges: DataFrame, flags: DataFrame, seeds: DataFrame, members: DataFrame, targets: DataFrame, query_words: DataFrame, max_hops: int = 2, max_nodes: int = 50, seed_cap: int = 20, beam: int = 25, max_chunks: int = 120, scoped_edges: DataFrame | None = None, restrict: bool = False, per_node: int | None = None) -> DataFrame:
     """Best-first walks of many queries, one task a query over its own k-hop candidates.
 
     seeds: query_id, node_id, rank; targets: query_id, comm_id; query_words: query_id, words; scoped_edges: s, p, o that
-    may be walked (either way round).
+    may be walked (either way round).  per_node: out-edges of a node that reach a walk's task; by default as many as it
+    could take.
     """
     e = edges
     if scoped_edges is not None:
@@ -341,7 +343,7 @@ def traverse(edges: DataFrame, flags: DataFrame, seeds: DataFrame, members: Data
     to = node.select("query_id", F.col("node_id").alias("o"), F.col("own").alias("to_own"), F.col("ok").alias("to_ok"))
     part = part.join(to, ["query_id", "o"]).filter("to_ok and pw <> 0")
     rank = F.row_number().over(Window.partitionBy("query_id", "s").orderBy(F.desc(F.col("to_own") + score), "o"))
-    part = part.withColumn("r", rank).filter(F.col("r") <= beam + seed_cap + max_nodes)
+    part = part.withColumn("r", rank).filter(F.col("r") <= (per_node or beam + seed_cap + max_nodes))
     used = part.select("query_id", F.col("o").alias("node_id")).unionByName(seeds.select("query_id", "node_id")).distinct()
     node = node.join(used, ["query_id", "node_id"], "left_semi")
     rows = part.select("query_id", F.lit(1).alias("kind"), "s", "o", "label", score.alias("x"), "pw", "chunks", F.lit(None).cast("boolean").alias("ok"), F.lit(None).cast("int").alias("rank"))

@@ -1,4 +1,4 @@
-"""Many questions through search, seeds, walk, fusion and context in one plan."""
+"""Many questions through routing, search, seeds, walk, context and scope checks in one plan."""
 
 from __future__ import annotations
 
@@ -10,48 +10,93 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import graph as G
+from ..operators import retrieval as T
 from ..operators.relational import cosine, ends
+from ..operators.shared import materialize
 from ..operators.views import Views
 
-
 #: Questions of a block, about: their vectors are broadcast.
 BLOCK = 1000
 
 
+def _first(df: DataFrame, k: int, *order, per: tuple[str, ...] = ("query_id",), out: str = "rank") -> DataFrame:
+    """The k first rows of each question, ranked from 1."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col(out) <= k)
+
+
 class KnowledgeEngine:
-    """Answers come as ranked chunks with their scores; a language model may turn them into prose."""
+    """Answers come as ranked chunks with their scores; a language model may turn them into prose (operators.models.answer)."""
 
-    def __init__(self, views: Views, hops: int = 2, near: int = 15, seeds: int = 20, context: int = 35):
-        self.v, self.hops, self.near, self.n_seeds, self.context = views, hops, near, seeds, context
+    def __init__(self, views: Views, hops: int = 2, near: int = 15, seeds: int = 20, context: int = 35, reports: int = 5, scope: T.Scope | None = None, scores: DataFrame | None = None):
+        """scope: a strict one keeps search, communities, walks and context inside its texts, and each is checked.
+        scores: conceptness of entities, without which they don't restrict seeds and walks."""
+        self.v, self.hops, self.near, self.n_seeds, self.context, self.reports = views, hops, near, seeds, context, reports
+        self.scope = scope if scope and not scope.empty() else None
+        self.scores = scores
 
     def answer(self, questions: DataFrame) -> DataFrame:
-        """questions: query_id, question, vec_id (whose vector stands for the question's) -> query_id, place, chunk_id, score, source."""
-        n = -(-questions.count() // BLOCK)
-        if n > 1:
-            parts = [self._block(questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)) for k in range(n)]
-            return reduce(DataFrame.unionByName, parts)
-        return self._block(questions)
+        """questions: query_id, question, vec_id (whose vector stands for the question's) -> query_id, place, chunk_id, score, tier.
+
+        Tiers: 1 cited by the nearest reports, 2 met early on the walk, 3 near the question, 4 met later.
+        """
+        v = self.v
+        self.edges = materialize(G.directed_edges(v.tg), "edges")
+        nodes = v.nodes.select("node_id", F.col("node_id").alias("label"))
+        self.flags = materialize(G.node_flags(nodes, self.edges.select("s", "p", "o"), self.scores), "flags")
+        self.inside = materialize(self.scope.chunks(v.files, v.chunks), "scope") if self.scope else None
+        questions = materialize(questions, "questions")
+        n = max(1, -(-questions.count() // BLOCK))
+        parts = [self._block(questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) if n > 1 else questions) for k in range(n)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _within(self, chunks: DataFrame) -> DataFrame:
+        return chunks if self.inside is None else chunks.join(self.inside, "chunk_id", "left_semi")
+
+    def _checked(self, found: DataFrame, what: str) -> DataFrame:
+        return T.check_scope(found, self.inside, what) if self.scope and self.scope.strict else found
+
+    def _routed(self, q: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(query_id, comm_id) of five communities and (query_id, chunk_id, rank from 0) of what their reports cite."""
+        v = self.v
+        if self.scope and self.scope.strict:  # reports are of the whole graph: communities come from the scope's own entities
+            inside = ends(self._within(v.tg), out="node_id").join(v.mem.select("node_id", "comm_id"), "node_id")
+            top = inside.groupBy("comm_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "comm_id").limit(self.reports)
+            return q.select("query_id").join(F.broadcast(top.select("comm_id"))), q.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(0).alias("rank")).limit(0)
+        r = v.reports.filter("report_embedding is not null")
+        near = _first(r.join(F.broadcast(q.select("query_id", "q"))).select("query_id", "comm_id", cosine(F.col("report_embedding"), F.col("q")).alias("score")), self.reports, F.desc_nulls_last("score"), "comm_id", out="r")
+        cites = near.select("query_id", "comm_id", "r").join(r.select("comm_id", F.posexplode("cited_chunk_ids").alias("pos", "chunk_id")), "comm_id")
+        cites = self._within(cites).groupBy("query_id", "chunk_id").agg(F.min(F.struct("r", "pos")).alias("at"))
+        return near.select("query_id", "comm_id"), _first(cites, 30, "at", "chunk_id").select("query_id", "chunk_id", (F.col("rank") - 1).alias("rank"))
 
     def _block(self, questions: DataFrame) -> DataFrame:
         v = self.v
         vec = v.table("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"))
-        q = questions.join(vec, "vec_id").withColumn("words", X.tokens(F.col("question")))
+        q = materialize(questions.join(vec, "vec_id").withColumn("words", X.tokens(F.col("question"))), "block")
+        routed, cites = (materialize(x, "routed") for x in self._routed(q))
         # each task scores its vectors against a block of questions
-        scored = v.ec.join(F.broadcast(q.select("query_id", "q"))).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
-        r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "chunk_id"))
-        top = scored.withColumn("rank", r).filter(F.col("rank") <= self.near)
-        t = v.tg.join(top.select("query_id", "chunk_id"), "chunk_id")
-        cand = ends(t, "s", "o", "node_id", "query_id").distinct().join(v.mem, "node_id").join(q.select("query_id", "words"), "query_id")
-        routed = cand.groupBy("query_id", "comm_id").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "comm_id"))).filter("r <= 5")
-        cand = cand.join(routed.select("query_id", "comm_id", F.lit(True).alias("hit")), ["query_id", "comm_id"], "left")
-        score = X.label_relevance(F.col("node_id"), F.col("words")) + F.when(F.col("hit"), 0.3).otherwise(0.0)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
-        seeds = cand.withColumn("score", score).filter("score > 0").withColumn("rank", rank).filter(F.col("rank") <= self.n_seeds).select("query_id", "node_id", "rank")
-        e = G.directed_edges(v.tg)
-        flags = v.nodes.select("node_id", F.col("node_id").alias("label"), F.lit(True).alias("valid_expansion"))
-        steps = G.traverse(e, flags, seeds, v.mem, routed.select("query_id", "comm_id"), q.select("query_id", "words"), self.hops, 80, self.n_seeds, 40, 160)
-        walk = steps.select("query_id", "step", F.explode("chunks").alias("chunk_id")).groupBy("query_id", "chunk_id").agg(F.min("step").alias("step"))
-        j = top.select("query_id", "chunk_id", (F.col("score") * 0.6).alias("a")).join(walk.select("query_id", "chunk_id", (0.4 / (1 + F.col("step") * 0.1)).alias("b")), ["query_id", "chunk_id"], "full")
-        both = j.withColumn("score", F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).withColumn("source", F.when(F.col("b").isNull(), "vector").when(F.col("a").isNull(), "graph").otherwise("both"))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-        return both.withColumn("place", place).filter(F.col("place") <= self.context).select("query_id", "place", "chunk_id", F.round("score", 6).alias("score"), "source")
+        scored = self._within(v.ec).join(F.broadcast(q.select("query_id", "q"))).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+        top = self._checked(materialize(_first(scored, self.near, F.desc_nulls_last("score"), "chunk_id"), "near"), "vector search")
+        # seeds: entities of the first thirty chunks, cited ones first
+        found = cites.select("query_id", "chunk_id", "rank").unionByName(top.select("query_id", "chunk_id", (F.col("rank") + 1000).alias("rank"))).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("at"))
+        t = v.tg.join(_first(found, 30, "at", "chunk_id").select("query_id", "chunk_id"), "chunk_id")
+        ok = self.flags.filter("valid_seed").select("node_id", "label")
+        cand = ends(t, "s", "o", "node_id", "query_id").distinct().join(ok, "node_id").join(v.mem.select("node_id", "comm_id"), "node_id", "left").join(q.select("query_id", "words"), "query_id")
+        cand = cand.join(routed.withColumn("hit", F.lit(True)), ["query_id", "comm_id"], "left")
+        score = X.label_relevance(F.col("label"), F.col("words")) + F.when(F.col("hit"), 0.3).otherwise(0.0)
+        seeds = _first(cand.withColumn("score", score).filter("score > 0"), self.n_seeds, F.desc("score"), "node_id").select("query_id", "node_id", "rank")
+        scoped = self._within(v.tg).select("s", "p", "o").distinct() if self.scope and self.scope.strict else None
+        steps = G.traverse(self.edges, self.flags, materialize(seeds, "seeds"), v.mem, routed, q.select("query_id", "words"), self.hops, 80, self.n_seeds, 40, 160, scoped_edges=scoped)
+        walk = self._within(steps.select("query_id", "step", F.explode("chunks").alias("chunk_id"))).groupBy("query_id", "chunk_id").agg(F.min("step").alias("step"))
+        return self._checked(self._context(cites, walk, top), "context")
+
+    def _context(self, cites: DataFrame, walk: DataFrame, top: DataFrame, keep_report: int = 8, keep_walk: int = 12) -> DataFrame:
+        """Must-keep citations, must-keep walk chunks, nearest chunks, the rest of the walk, for each question."""
+        one = cites.filter(F.col("rank") < keep_report)
+        first = one.select("query_id", "chunk_id", F.lit(1).alias("tier"), F.col("rank").cast("double").alias("k"), (1.0 - F.col("rank") * 0.05).alias("score"))
+        w = walk.join(one.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("s", F.greatest(F.lit(0.5), 1.0 - F.col("step") * 0.02))
+        w = _first(w, max(self.context, keep_walk), F.desc("s"), "chunk_id", out="r")
+        kept = F.col("r") <= keep_walk
+        second = w.select("query_id", "chunk_id", F.when(kept, 2).otherwise(4).alias("tier"), (-F.col("s")).alias("k"), F.when(kept, F.col("s")).otherwise(F.col("s") * 0.8).alias("score"))
+        third = top.select("query_id", "chunk_id", F.lit(3).alias("tier"), (F.col("rank") - 1).cast("double").alias("k"), (0.8 - (F.col("rank") - 1) * 0.02).alias("score"))
+        best = first.unionByName(second).unionByName(third).groupBy("query_id", "chunk_id").agg(F.min(F.struct("tier", "k", "score")).alias("x"))
+        return _first(best, self.context, "x.tier", "x.k", "chunk_id", out="place").select("query_id", "place", "chunk_id", F.round("x.score", 6).alias("score"), F.col("x.tier").alias("tier"))

@@ -81,14 +81,17 @@ def _(v):
     return c.withColumn("r", r).filter("r <= 50").groupBy("comm_id").agg(F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("cited"))
 
 
-@query("gr16_conceptness", f"""with {_EDGES}, m as (select n, count(*) as c from (select s as n from tg union all select o from tg) group by 1),
+_CONCEPTNESS = f"""with {_EDGES}, m as (select n, count(*) as c from (select s as n from tg union all select o from tg) group by 1),
 near as (select e, n, sum(weight) as w from (select s as e, o as n, weight from edges union all select o, s, weight from edges) group by 1, 2),
 best as (select e, n from (select *, row_number() over (partition by e order by w desc, n) as r from near) where r <= 10),
 sims as (select e, avg(list_cosine_similarity(a.embedding, b.embedding)) as cohesion, count(*) as k from best join ee a on a.entity = e join ee b on b.entity = n group by 1),
 deg as (select e, sum(w)::bigint as wd from near group by 1)
 select e as entity_id, round(coalesce(cohesion, 0), 6)::double as cohesion, round(ln(1 + coalesce(c, 0)) + ln(1 + wd), 6)::double as support,
        round(greatest(0, coalesce(cohesion, 0)) * (ln(1 + coalesce(c, 0)) + ln(1 + wd)), 6)::double as conceptness, coalesce(k, 0)::bigint as neighbor_count, wd as weighted_degree, coalesce(c, 0)::bigint as mention_count
-from deg left join sims using (e) left join m on m.n = e""")
+from deg left join sims using (e) left join m on m.n = e"""
+
+
+@query("gr16_conceptness", _CONCEPTNESS)
 def _(v):
     c = _scores(v)
     return c.select("entity_id", *(F.round(x, 6).alias(x) for x in ("cohesion", "support", "conceptness")), "neighbor_count", "weighted_degree", "mention_count")
@@ -99,7 +102,7 @@ def _scores(v):
     return G.conceptness(e, ends(v.tg).groupBy("entity").agg(F.count("*").alias("mentions")), v.ee)
 
 
-@query("tk5_lowest_conceptness")
+@query("tk5_lowest_conceptness", _CONCEPTNESS.replace("select e as entity_id, round(coalesce", ", c as (select e as entity_id, round(coalesce") + ") select entity_id, conceptness from c order by conceptness, entity_id limit 20")
 def _(v):
     return _scores(v).orderBy(F.round("conceptness", 6), "entity_id").limit(20).select("entity_id", F.round("conceptness", 6).alias("conceptness"))
 

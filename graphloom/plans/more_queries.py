@@ -132,7 +132,9 @@ def _(v):
 
 @query("rt13_expand_node", "select o as neighbour, p, count(*) as n from tg where s = 'supplier 9' group by 1, 2 order by n desc, 1, 2 limit 15")
 def _(v):
-    return v.tg.filter("s = 'supplier 9'").groupBy(F.col("o").alias("neighbour"), "p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "neighbour", "p").limit(15)
+    from .agent import expand_node
+
+    return expand_node(v.tg, "supplier 9")
 
 
 @query("cl1_cleaning_profile", "select 'subject' as kind, subject_norm as name, count(*) as n from tt group by 2 having count(*) > 900 union all select 'predicate', predicate_norm, count(*) from tt group by 2")
@@ -153,8 +155,20 @@ def _(v):
 
 @query("cn2_predicate_canon_map")
 def _(v):
-    p = v.tt.groupBy(F.col("predicate_norm").alias("p")).agg(F.count("*").alias("n"))
-    return p.select("p", "n", F.coalesce(X.canonical_predicate(F.col("p")), F.col("p")).alias("canon"))
+    from ..operators.canonicalization import canonical_predicates
+
+    p = v.tt.groupBy(F.col("predicate_norm").alias("predicate")).agg(F.count("*").alias("n"))
+    return canonical_predicates(p)
+
+
+@query("cn9_canonical_histogram")
+def _(v):
+    """Names, predicates and pairs through all steps, and how many pairs have how many edges in the end."""
+    from ..operators.canonicalization import canonicalize_all
+
+    t, _names, _preds = canonicalize_all(v.tg)
+    pairs = t.groupBy("s", "o").agg(F.count("*").alias("edges"))
+    return pairs.groupBy("edges").agg(F.count("*").alias("pairs"))
 
 
 @query("cn4_pair_keys", "select distinct least(s, o) as a, greatest(s, o) as b from tg")
@@ -175,8 +189,9 @@ def _(v):
 
 @query("ap7_trace_steps", "select conv_id, array_to_string(list(turn || ':' || role order by turn), ' ') as trace from conversations group by 1")
 def _(v):
-    g = v.msgs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("s"))
-    return g.select("conv_id", F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"])), " ").alias("trace"))
+    from .agent import traces
+
+    return traces(v.msgs, "conv_id", "turn", "role")
 
 
 @query("ap13_last_session", "select conv_id, max(turn) as last_turn from conversations group by 1")

@@ -218,17 +218,23 @@ def _(v):
     return audit(v.msgs, allowed, "conv_id", "turn", "role")
 
 
-@query("ap4_synthesis_gate", "select conv_id, bool_and(turn <= 6) as within_read, count(*) as cites from conversations where role = 'assistant' group by 1")
+@query("ap4_synthesis_gate", """with a as (select conv_id, turn from conversations where role = 'assistant'), r as (select conv_id, turn from conversations where turn <= 6), b as (select conv_id, min(turn) as turn from a group by 1)
+select a.conv_id as query_id, bool_and(r.turn is not null) and bool_or(b.turn is null) as passes from a left join r using (conv_id, turn) left join b using (conv_id, turn) group by 1""")
 def _(v):
-    read = F.array(*(F.lit(i).cast("long") for i in range(7)))
-    g = v.msgs.filter("role = 'assistant'").groupBy("conv_id").agg(F.collect_list("turn").alias("c"))
-    return g.select("conv_id", (F.size(F.array_except("c", read)) == 0).alias("within_read"), F.size("c").cast("long").alias("cites"))
+    from .control import gate
 
+    # turns stand for chunks: an answer's own are cited, the first seven were read, its first was cited before
+    at = lambda d: d.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("chunk_id"))
+    cited = v.msgs.filter("role = 'assistant'")
+    before = cited.groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    return gate(at(cited), at(v.msgs.filter("turn <= 6")), at(before))
 
-@query("ap5_path_edges", "select conv_id, turn, role as from_role, lead(role) over (partition by conv_id order by turn) as to_role from conversations qualify to_role is not null")
+
+@query("ap5_path_edges", "select conv_id, turn, role as from_node, lead(role) over (partition by conv_id order by turn) as to_node from conversations qualify to_node is not null")
 def _(v):
-    nxt = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return v.msgs.select("conv_id", "turn", F.col("role").alias("from_role"), nxt.alias("to_role")).filter("to_role is not null")
+    from .agent import path_edges
+
+    return path_edges(v.msgs, "conv_id", "turn", "role")
 
 
 @query("sk8_transcript", "select conv_id, string_agg(upper(role) || ': ' || text, chr(10) order by turn) as transcript from conversations group by 1")
@@ -277,7 +283,7 @@ def _(v):
 
 @query("cn3_semantic_merge")
 def _(v):
-    from ..operators.canonical import canonicalize
+    from ..operators.canonicalization import is_name, merge_entities
 
     n = ends(v.tg).groupBy("entity").agg(F.count("*").alias("n")).filter("n >= 2")
-    return canonicalize(v.ee.join(n, "entity").select(F.col("entity").alias("name"), "n", "embedding"), 0.92)
+    return merge_entities(v.ee.join(n, "entity").select(F.col("entity").alias("name"), "n", "embedding", is_name(F.col("entity")).alias("is_named")), 0.92)

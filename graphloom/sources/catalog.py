@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -63,5 +64,11 @@ class Catalog:
         have = self.read(name, T.StructType([f for f in new.schema if f.name != sequence]))
         self.overwrite(name, upsert(have, new, keys, sequence))
 
+    def register(self, name: str, rows: pd.DataFrame, schema: T.StructType | str | None = None) -> DataFrame:
+        """A pandas frame as a table that SQL can name, for this session alone."""
+        df = self.spark.createDataFrame(rows, schema)
+        df.createOrReplaceTempView(name)
+        return df
+
     def counts(self) -> dict[str, int]:
         return {t: self.read(t).count() for t in self.tables()}
