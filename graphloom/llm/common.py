@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,50 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_made: list[tuple[object, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; where that is unset (tests), a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        _made.append((spark, at))
-    return at
-
-
-def _clean() -> None:
-    for spark, at in _made:
-        try:
-            drop_path(spark, at)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            pass
-
-
-atexit.register(_clean)
-
-
-def drop_path(spark: SparkSession, at: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(at)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(at)
-    _made.append((spark, at))
-    out = spark.read.schema(df.schema).parquet(at)
-    out._table = at
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the table that materialize wrote for df; nothing that reads it may be left."""
-    if at := df.__dict__.get("_table"):
-        drop_path(df.sparkSession, at)
+from ..operators.shared import discard, drop_path, materialize, shared_dir  # noqa: F401
 
 
 def map_arrow(df: DataFrame, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:

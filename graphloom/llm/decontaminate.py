@@ -3,25 +3,30 @@
 Each slice of documents is a shard with its own suffix array over word ids.  Ids number the benchmark's vocabulary, so
 a suffix of a shard can match only up to its first foreign word; suffixes that meet a foreign word before the shortest
 window ends can't match and are left out of the array.  Every benchmark suffix is binary-searched in each shard's
-array; the hits of neighbouring suffixes on one diagonal merge into the longest verbatim matches with their places.
+array, to the depth of a window, which loses no match: a longer one is a run of windows on one diagonal, and such runs
+merge into the longest verbatim matches with their places.
 
-The benchmark is the stated query set: it is broadcast in blocks of at most BLOCK_BYTES of text, and every block is
-searched in all documents.
+The benchmark is the stated query set.  Up to BLOCK_BYTES of its text it is one broadcast; beyond that it goes in passes
+over the documents, one block of at most BLOCK_BYTES broadcast at a time, whose matches are stored and then merged.
 
 Edge cases: a null or empty text has no words and no hits; a null or empty benchmark item has no window; an item of
-fewer than ten words is one window; repeated items count once by item_id; an empty table on either side gives
+fewer than ten words is one window; repeated items count once by item_id; words of an item without an id are hit, but it
+is no item of n_items; ties between matches are ordered by place, then length; a very long text is searched whole;
+repeated rows are judged alike; an empty table on either side gives
 uncontaminated documents or no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import only, read_table, restore, with_kernel
+from .common import materialize, only, read_table, restore, with_kernel
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -124,32 +129,75 @@ def _kernel(blocks: list) -> callable:
     return kernel
 
 
-def _blocks(bench: DataFrame) -> list:
-    """Broadcasts of the query set, each of at most BLOCK_BYTES of text (or one longer item)."""
+MATCH = "struct<item_id:long,item_start:long,doc_start:long,length:long>"
+
+
+def _parts(bench: DataFrame) -> list[DataFrame]:
+    """The query set in parts of at most about BLOCK_BYTES of text (or one longer item)."""
     b = only(bench, item_id="long", text="string").filter("text is not null")
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // (BLOCK_BYTES // 2)))
-    out = []
-    for k in range(n):
-        rows = (b if n == 1 else b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()
-        out.append(bench.sparkSession.sparkContext.broadcast(TestSuffixes([r[0] for r in rows], [r[1] for r in rows])))
-    return out
+    n = 1 if size <= BLOCK_BYTES else -(-size // (BLOCK_BYTES // 2))
+    return [b if n == 1 else b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _shared(part: DataFrame):
+    rows = part.collect()  # at most about BLOCK_BYTES
+    return part.sparkSession.sparkContext.broadcast(TestSuffixes([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two hashes of the text: rows that agree in all of them have the same matches."""
+    return only(docs, doc_id="long", text="string").withColumn("h1", F.xxhash64("text")).withColumn("h2", F.hash("text"))
+
+
+def _passes(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """doc_id, h1, h2, matches of the documents that any part hits: one pass a part, of which only matches are stored."""
+    found = []
+    for part in parts:
+        b = _shared(part)
+        got = with_kernel(_keyed(docs), {"n_hit": "long", "matches": f"array<{MATCH}>"}, _kernel([b])).filter("n_hit > 0").select(F.col("c0").alias("doc_id"), F.col("c2").alias("h1"), F.col("c3").alias("h2"), "matches")
+        found.append(materialize(got, "matches"))
+        b.destroy()
+    each = reduce(DataFrame.unionByName, found).select("doc_id", "h1", "h2", F.explode("matches").alias("m"))
+    order = lambda m: F.struct(m["doc_start"], -m["length"], m["item_id"].isNull(), m["item_id"], m["item_start"])
+    return each.groupBy("doc_id", "h1", "h2").agg(F.array_sort(F.collect_set(F.struct(order(F.col("m")).alias("k"), "m"))).alias("x")).select("doc_id", "h1", "h2", F.col("x.m").alias("matches"))
+
+
+def _covered(matches: Column) -> Column:
+    """Words within any match; matches are sorted by start."""
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda s, m: F.struct(F.greatest(s["end"], m["doc_start"] + m["length"]).alias("end"), (s["n"] + F.greatest(F.lit(0), m["doc_start"] + m["length"] - F.greatest(s["end"], m["doc_start"]))).alias("n"))
+    return F.aggregate(matches, zero, step, lambda s: s["n"])
 
 
 def longest_matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, and `matches`, the maximal verbatim matches of ten words or a whole short item."""
-    d = only(docs, doc_id="long", text="string")
-    kind = "array<struct<item_id:long,item_start:long,doc_start:long,length:long>>"
-    return with_kernel(d, {"n_words": "long", "n_hit": "long", "matches": kind}, _kernel(_blocks(bench))).withColumnRenamed("c0", "doc_id").drop("c1")
+    parts = _parts(bench)
+    if len(parts) == 1:
+        d = only(docs, doc_id="long", text="string")
+        return with_kernel(d, {"n_words": "long", "n_hit": "long", "matches": f"array<{MATCH}>"}, _kernel([_shared(parts[0])])).withColumnRenamed("c0", "doc_id").drop("c1")
+    found = _passes(docs, parts).toDF("_d", "_h1", "_h2", "matches")
+    sized = with_kernel(_keyed(docs), {"n_words": "long"}, _kernel([])).select(F.col("c0").alias("doc_id"), F.col("c2").alias("h1"), F.col("c3").alias("h2"), "n_words")
+    j = sized.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    m = F.coalesce("matches", F.expr(f"cast(array() as array<{MATCH}>)"))
+    return j.select("doc_id", "n_words", _covered(m).alias("n_hit"), m.alias("matches"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of docs without any benchmark window, in their own columns."""
-    return restore(with_kernel(docs, {}, _kernel(_blocks(bench)), keep="_clean"), docs)
+    parts = _parts(bench)
+    if len(parts) == 1:
+        return restore(with_kernel(docs, {}, _kernel([_shared(parts[0])]), keep="_clean"), docs)
+    left = docs
+    for part in parts:
+        b = _shared(part)
+        left = materialize(restore(with_kernel(left, {}, _kernel([b]), keep="_clean"), docs), "clean")
+        b.destroy()
+    return left
 
 
 def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = longest_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    ids = F.array_sort(F.transform(F.array_distinct(F.col("matches.item_id")), lambda x: x.cast("string")))
+    ids = F.array_sort(F.transform(F.array_distinct(F.array_compact(F.col("matches.item_id"))), lambda x: x.cast("string")))
     longest = F.coalesce(F.array_max(F.col("matches.length")), F.lit(0)).cast("long")
     return m.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), longest.alias("longest_match"))

@@ -8,7 +8,7 @@ from .linededup import OP5_SQL, op5_line_windows
 from .lmscore import op9_attention_scores
 from .neardup import op2_probminhash_classes
 from .packing import op4_shortest_pack_first
-from .quality import op1_quality_ledger
+from .quality import op1_quality_ledger, quality_ablations
 from .secrets import op3_entropy_secrets
 from .sharding import op10_virtual_slots
 
@@ -23,9 +23,11 @@ QUERIES = {
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_attention_scores": op9_attention_scores,
     "op10_virtual_slots": op10_virtual_slots,
+    "quality_ablations": quality_ablations,
 }
 SQL: dict[str, str] = {
     "op1_quality_ledger": sql.OP1,
+    "quality_ablations": sql.ABLATIONS,
     "op3_entropy_secrets": sql.OP3,
     "op5_line_windows": OP5_SQL,
     "op7_dice_licences": OP7_SQL,

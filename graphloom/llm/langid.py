@@ -1,15 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained here, in numpy, by backpropagation through time, on byte windows taken from a bounded sample of
-labelled documents (SAMPLE_DOCS a language, WINDOWS_PER_DOC windows spread over each whole text).  It labels every byte
+labelled documents (SAMPLE_DOCS of each language, WINDOWS_PER_DOC windows spread over each whole text).  It labels every byte
 position of a text; a document's probabilities are the means over its positions.  Texts are read whole, in segments
 that start from a zero state, many segments side by side.
 
-A language is what the training rows name; how many rows each has is counted over all of them, and its sampling rate
-follows, so a rare language is sampled as well as a common one.
+A language is what the training rows name, however many there are; how many rows each has is counted over all of them,
+and its sampling rate follows, so a rare language is sampled as well as a common one.  Steps grow with the number of
+languages, and fewer segments go side by side, so that memory doesn't.
 
-Edge cases: a null text or one without a letter is `und` with score 0; a null lang isn't learned from; with no training
-row all are `und`; a repeated row is predicted again; an empty table gives no rows; other columns are ignored.
+Edge cases: a null text or one without a letter is `und` with score 0; a null lang or a text without a byte
+isn't learned from, a short one repeats within its window; with no training row all are `und`; ties of probability go to
+the first language by name; a very long text is read whole; a repeated row is predicted again; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from . import textkit as tk
 from .common import map_arrow, only, read_table
 
 HIDDEN, WINDOW, SEGMENT = 16, 64, 128
-#: Bounds of the training sample: languages, documents of each (about), windows of a document.
-LANGUAGES, SAMPLE_DOCS, WINDOWS_PER_DOC = 512, 600, 12
+#: Bounds of the training sample: documents of each language (about), windows of a document.
+SAMPLE_DOCS, WINDOWS_PER_DOC = 600, 12
 STEPS, BATCH, RATE, SEED = 420, 160, 0.02, 11
-#: Segments that go through the network side by side.
-WIDTH = 2048
+#: Segments that go through the network side by side, for up to CLASSES languages; of more, fewer.
+WIDTH, CLASSES = 2048, 16
+#: Languages whose rates are sure to be a small table.
+FEW = 10_000
 
 
 def remainder(parts: int) -> Column:
@@ -165,6 +169,7 @@ class BiGRU:
         size = np.minimum(segment, s.off[doc + 1] - start)
         sums = np.zeros((s.n, len(self.languages)))
         order = np.argsort(-size, kind="stable")
+        width = max(1, width * CLASSES // max(CLASSES, len(self.languages)))
         for i in range(0, len(order), width):
             k = order[i : i + width]
             steps = int(size[k].max())
@@ -179,13 +184,14 @@ class BiGRU:
 
 def sample_windows(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, byte windows and their languages, from about SAMPLE_DOCS documents of each language."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    spark = labelled.sparkSession
+    counts = labelled.groupBy("lang").count().collect()  # a model has a column a language, so they fit the driver
     if not counts:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
     languages = sorted(r[0] for r in counts)
-    rate = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1.0, SAMPLE_DOCS / r[1]))))
+    rates = spark.createDataFrame([(r[0], min(1.0, SAMPLE_DOCS / r[1])) for r in counts], "lang string, rate double")
     share = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = labelled.filter(share < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))
+    chosen = labelled.join(F.broadcast(rates) if len(counts) <= FEW else rates, "lang").filter(share < F.col("rate"))
 
     def fn(b: pa.RecordBatch):
         for s in tk.text_slices(b.column(1)):
@@ -194,7 +200,7 @@ def sample_windows(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarr
             for k in range(s.n):
                 raw = s.data[s.off[k] : s.off[k + 1]].tobytes()
                 spots = np.unique(np.linspace(0, max(0, len(raw) - WINDOW), min(WINDOWS_PER_DOC, max(1, len(raw) // WINDOW))).astype(int))
-                rows += [(lang[k], raw[p : p + WINDOW]) for p in spots if len(raw) > 3]
+                rows += [(lang[k], raw[p : p + WINDOW]) for p in spots]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "window"])
 
     got = map_arrow(chosen.select("lang", "text"), "lang string, window binary", fn).toArrow()
@@ -208,11 +214,11 @@ def sample_windows(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarr
 
 def fit(labelled: DataFrame) -> BiGRU | None:
     """labelled: doc_id, text, lang; rows with a null in text or lang teach nothing."""
-    languages, windows, target = sample_windows(only(labelled, doc_id="long", text="string", lang="string").filter("text is not null and lang is not null and length(text) > 3"))
+    languages, windows, target = sample_windows(only(labelled, doc_id="long", text="string", lang="string").filter("text <> '' and lang is not null"))
     if not languages:
         return None
     model = BiGRU(languages)
-    model.train(windows, target)
+    model.train(windows, target, steps=STEPS * max(1, len(languages) // CLASSES))
     return model
 
 

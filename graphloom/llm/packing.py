@@ -112,10 +112,10 @@ def ranges(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, i
 
 def pack(docs: DataFrame, tokenizer: str | None = None, context: int = CONTEXT) -> DataFrame:
     spark = docs.sparkSession
-    p = materialize(pieces(docs, tokenizer, context), "pieces")
+    p = materialize(pieces(docs, tokenizer, context).withColumn("row", F.monotonically_increasing_id()), "pieces")  # stored, so fixed
     histogram = {r[0]: r[1] for r in p.groupBy("length").count().collect()}  # at most `context` rows
     table = spark.createDataFrame(ranges(plan(histogram, context)), "length long, a long, z long, m long, s long, o long")
-    ranked = distributed_rank(p, ["length"], ["doc_id", "start", "ids_crc32"], F.xxhash64("doc_id", "start"), max(1, -(-sum(histogram.values()) // BUCKET_ROWS)))
+    ranked = distributed_rank(p, ["length"], ["doc_id", "start", "ids_crc32"], F.xxhash64("row"), max(1, -(-sum(histogram.values()) // BUCKET_ROWS)))
     # bounded by the context length, not by the number of documents
     j = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("z"))).drop(table["length"])
     k = F.col("rank") - F.col("a")

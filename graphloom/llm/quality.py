@@ -12,14 +12,15 @@ no rule; repeated rows are judged separately; an empty table gives an empty ledg
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import map_arrow, only, read_table, restore, with_kernel
+from .common import map_arrow, materialize, only, read_table, restore, with_kernel
 
 REPEAT_WINDOW = 8
 _SYMBOL = np.zeros(256, bool)
@@ -130,11 +131,19 @@ POLICIES = (
 CURRENT = POLICIES[-1]
 
 
+def fail_bits(rules: tuple[Rule, ...] = RULES) -> Column:
+    """Bit b is set where the rule with that bit fails; a rule that can't be evaluated fails none."""
+    return reduce(lambda a, b: a + b, (F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules))
+
+
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Measurements and `fail_bits`: bit b is set where the rule with that bit fails."""
-    m = measure(docs)
-    bits = sum((F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules[1:]), F.when(F.expr(rules[0].fails), F.lit(1 << rules[0].bit)).otherwise(F.lit(0)).cast("long"))
-    return m.withColumn("fail_bits", bits)
+    return measure(docs).withColumn("fail_bits", fail_bits(rules))
+
+
+def store_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder, which policies and ablations read instead of texts."""
+    return materialize(ledger(docs), "ledger")
 
 
 def apply_policy(led: DataFrame, policy: Policy = CURRENT, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -162,14 +171,17 @@ def ablations(led: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tu
 
 
 def keep_good(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
-    """The rows of docs that pass the policy, in their own columns; measured in the pass that carries them, no shuffle."""
+    """The rows of docs whose fail bits meet none of the policy's mask, in their own columns; no shuffle."""
     measured = with_kernel(docs, {k: "long" for k in MEASURES}, _measure)
-    used = [r for r in RULES if r.name in policy.rules]
-    fails = F.coalesce(F.expr(" or ".join(f"({r.fails})" for r in used)), F.lit(False))
-    return restore(measured.filter(~fails), docs)
+    return restore(apply_policy(measured.withColumn("fail_bits", fail_bits()), policy).filter("kept"), docs)
 
 
 def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = apply_policy(ledger(read_table(spark, sf_dir, "documents")))
+    led = apply_policy(store_ledger(read_table(spark, sf_dir, "documents")))
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"), "fail_bits", "policy_version")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does to `documents`, from the ledger's bit patterns."""
+    return ablations(store_ledger(read_table(spark, sf_dir, "documents")))

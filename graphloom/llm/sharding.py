@@ -15,13 +15,14 @@ and text are ignored whatever their names.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, only, read_table
+from .common import materialize, only, read_table, shared_dir
 
 SLOTS = 4096
 SHARDS = 24
@@ -74,18 +75,33 @@ def rebalance(m: ShardMap, slot_bytes: dict[int, int], shards: int | None = None
 
 
 def store_map(m: ShardMap, spark: SparkSession, path: str) -> None:
-    """Appends this version; earlier versions stay readable."""
-    m.table(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Adds this version, which must be new; earlier versions stay readable."""
+    m.table(spark).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={m.version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> ShardMap:
     t = spark.read.parquet(path)
     version = version if version is not None else t.agg(F.max("version")).first()[0]
-    rows = t.filter(F.col("version") == version).orderBy("virtual_slot").collect()
+    rows = t.filter(F.col("version") == version).orderBy("virtual_slot").collect()  # one row a slot
+    if not rows or [r["virtual_slot"] for r in rows] != list(range(len(rows))):
+        raise ValueError(f"{path} holds no whole map of version {version}")
     of = tuple(r["shard"] for r in rows)
     return ShardMap(version, max(of) + 1, of)
 
 
+def current_map(spark: SparkSession, path: str, slot_bytes: dict[int, int], shards: int = SHARDS, slots: int = SLOTS) -> ShardMap:
+    """The map stored at path, made or rebalanced for these sizes first; an edit is stored as the next version."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        store_map(build_map(slot_bytes, shards, slots), spark, path)
+    else:
+        have = load_map(spark, path)
+        new = rebalance(have, slot_bytes, max(shards, have.shards))
+        if new.of != have.of:
+            store_map(new, spark, path)
+    return load_map(spark, path)
+
+
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, and the hash bits that are left for finer buckets."""
     d = only(docs, doc_id="long", text="string")
@@ -96,7 +112,8 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         (F.length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.pmod(h, F.lit(slots)).cast("int").alias("virtual_slot"),
-        F.shiftrightunsigned(h, 16).alias("_h"),
+        # rows of one id, null included, spread over buckets too
+        F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 16).alias("_h"),
     )
 
 
@@ -124,10 +141,14 @@ def place(recs: DataFrame, m: ShardMap) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """path: where the map lives from run to run; without one it is made anew, in the shared folder."""
+    spark = docs.sparkSession
     recs = materialize(records(docs, slots), "shard-records")
-    placed = place(recs, build_map(slot_sizes(recs), shards, slots))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("map_version"))
+    path = path or f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}/shard-map-{uuid.uuid4().hex[:12]}"
+    m = current_map(spark, path, slot_sizes(recs), shards, slots)
+    placed = place(recs, m)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(m.version).alias("map_version"))
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,14 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        (fail_bits & 1983) = 0 as kept, fail_bits, 2::int as policy_version from b
 """
 
+#: Rules and masks of the two policies, written out; a row per policy and rule against bit patterns.
+ABLATIONS = OP1[: OP1.index("select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20")].rstrip() + """,
+pol(policy_version, mask, rule, bit) as (values (1, 3, 'few_words', 1), (1, 3, 'repeated_windows', 2), (2, 1983, 'few_words', 1), (2, 1983, 'repeated_windows', 2), (2, 1983, 'symbols', 4), (2, 1983, 'capitals', 8), (2, 1983, 'exclamation', 16),
+  (2, 1983, 'table_cells', 32), (2, 1983, 'short_words', 128), (2, 1983, 'long_words', 256), (2, 1983, 'no_letters', 512), (2, 1983, 'stuttered_words', 1024))
+select policy_version::int as policy_version, rule, count(*) filter (fail_bits & mask <> 0) as rejected, count(*) filter (fail_bits & bit <> 0) as by_rule, count(*) filter (fail_bits & mask = bit) as by_rule_alone,
+       count(*) filter (fail_bits & mask & ~bit <> 0) as without_rule, bit_or(fail_bits) filter (fail_bits & mask <> 0) as bits_seen from b, pol group by 1, 2
+"""
+
 OP8 = r"""
 with low as (select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 dw as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as pos, len(ws) as n from (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from low where t is not null)),
@@ -35,7 +43,7 @@ hits as (select d.doc_id, d.pos, q.item_id, q.a, q.k from dk d join q on d.k = q
 covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(pos, pos + k)) as p from hits) group by 1),
 runs as (select doc_id, max(pos + k) - min(pos) as len from (select *, pos - row_number() over (partition by doc_id, item_id, pos - a order by pos) as g from hits) group by doc_id, item_id, pos - a, g),
 longest as (select doc_id, max(len) as longest_match from runs group by 1),
-found as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from hits) group by 1),
+found as (select doc_id, count(item_id) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from hits) group by 1),
 sized as (select doc_id, count(*) as n_words from dw group by 1)
 select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(longest_match, 0)::bigint as longest_match
 from documents d left join sized using (doc_id) left join covered using (doc_id) left join found using (doc_id) left join longest using (doc_id)

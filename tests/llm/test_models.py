@@ -191,6 +191,52 @@ def test_language_edges(docs, empty, spark):
     assert {x.lang_pred for x in langid.predict(docs, None).collect()} == {"und"}
 
 
+def plain_prediction(m, text):
+    """One document at a time, one step at a time, by the equations of the network."""
+    p, total, raw = m.p, np.zeros(len(m.languages)), text.encode()
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for at in range(0, len(raw), langid.SEGMENT):
+        part = list(raw[at : at + langid.SEGMENT])
+        states = []
+        for side, order in ((0, part), (1, part[::-1])):
+            h, out = np.zeros(m.hidden), []
+            for b in order:
+                z, r = sig(p["xz"][side, b] + h @ p["uz"][side]), sig(p["xr"][side, b] + h @ p["ur"][side])
+                n = np.tanh(p["xn"][side, b] + r * (h @ p["un"][side] + p["c"][side]))
+                h = n + z * (h - n)
+                out.append(h)
+            states.append(out if side == 0 else out[::-1])
+        for f, b in zip(*states):
+            x = np.exp(f @ p["o"][0] + b @ p["o"][1] + p["b"])
+            total += x / x.sum()
+    return total / max(1, len(raw))
+
+
+def test_predictions_against_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 30)
+    rows = [(k, ("the cat and dog " if k % 2 else "der hund und die ") * (1 + k % 9) + str(k), "en" if k % 2 else "de") for k in range(60)] + [(99, "ab", "xx"), (98, "", "xx"), (97, None, "yy"), (96, "text", None)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.languages == ["de", "en", "xx"]  # short texts teach, empty ones and nulls don't
+    small = docs.filter("doc_id is null or doc_id <> 9")
+    texts = {r.doc_id: r.text for r in small.collect()}
+    for r in langid.predict(small, m).collect():
+        t = texts[r.doc_id]
+        if not t or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        want = plain_prediction(m, t)
+        assert r.lang_pred == m.languages[int(want.argmax())] and abs(r.score - want.max()) < 1e-3
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 1)
+    rows = [(k, f"text {k} of its own", f"l{k:03d}") for k in range(600)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(m.languages) == 600
+    got = langid.predict(spark.createDataFrame([(1, "some text " * 50)], "doc_id long, text string"), m).first()
+    assert got.lang_pred in m.languages
+
+
 # --- language model ---------------------------------------------------------------------------------------------------
 def small_model(seed=0, **kw):
     rng = np.random.default_rng(seed)

@@ -42,6 +42,14 @@ def test_quality_measures_and_verdicts(docs):
     assert kept[1] and kept[7] and not kept[2] and not kept[3] and not kept[6]
 
 
+def test_kept_rows_are_those_the_mask_keeps(docs):
+    """keep_good by the ledger's bits, for each policy, against the rules themselves."""
+    for p in quality.POLICIES:
+        rules = " or ".join(f"coalesce({r.fails}, false)" for r in quality.RULES if r.name in p.rules)
+        want = sorted(str(r.doc_id) for r in quality.measure(docs).filter(f"not ({rules})").collect())
+        assert sorted(str(r.doc_id) for r in quality.keep_good(docs, p).collect()) == want
+
+
 def test_quality_policies_and_ablations(docs, empty):
     led = quality.ledger(docs)
     v1 = quality.apply_policy(led, quality.POLICIES[0]).filter("not kept").count()
@@ -73,6 +81,26 @@ def test_sharding_is_gapless_and_even(docs, empty, spark, tmp_path):
     sharding.store_map(m, spark, at)
     sharding.store_map(grown, spark, at)
     assert sharding.load_map(spark, at).of == grown.of and sharding.load_map(spark, at, 1).of == m.of
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.store_map(grown, spark, at)
+    with pytest.raises(ValueError):
+        sharding.load_map(spark, at, 7)
+
+
+def test_sharding_reads_and_edits_its_stored_map(spark, docs, tmp_path):
+    d = spark.createDataFrame([(i, "x" * (i % 91)) for i in range(4000)] + [(None, "n")] * 500, "doc_id long, text string")
+    at = str(tmp_path / "map")
+    one = {r.doc_id: (r.shard, r.map_version) for r in sharding.shard_documents(d, 4, 256, at).collect()}
+    assert {v for _, v in one.values()} == {1}
+    load = np.zeros(4)
+    rows = sharding.shard_documents(d, 5, 256, at).collect()
+    for r in rows:
+        assert (r.shard == one[r.doc_id][0] or r.shard == 4) and r.map_version == 2
+    for r in sharding.shard_documents(d, 4, 256).collect():
+        load[r.shard] += r.size
+    assert load.max() < 1.25 * load.mean()  # by rows, not by the map alone
+    for s in range(5):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
 def test_packing_round_trip(docs, empty):
@@ -159,9 +187,24 @@ def test_decontamination_against_brute_force(spark, docs, empty):
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, 4, None, 6, 8}
     assert decontaminate.longest_matches(empty, bench).count() == 0
+    noid = decontaminate.longest_matches(docs, bench.selectExpr("cast(null as long) as item_id", "text")).filter("doc_id = 1").first()
+    assert noid.n_hit == first.n_hit and {m.item_id for m in noid.matches} == {None}
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(ROWS)
 
 
+def test_decontamination_in_passes_gives_the_same(spark, docs, monkeypatch):
+    words = [f"t{i}" for i in range(400)]
+    more = spark.createDataFrame([(100 + k, " ".join(words[k * 7 : k * 7 + 60]), "en", "s", 1, "clash", 5) for k in range(30)], docs.schema)
+    d = docs.unionByName(more)
+    bench = spark.createDataFrame([(k % 25 if k else None, " ".join(words[k * 11 : k * 11 + 3 + k])) for k in range(35)] + [(90, "fox jumps over the lazy dog and runs away from the very")], "item_id long, text string")
+    key = lambda rows: sorted((str(r.doc_id), r.n_words, r.n_hit, sorted(map(str, r.matches))) for r in rows)
+    one, kept = key(decontaminate.longest_matches(d, bench).collect()), sorted(str(r.doc_id) for r in decontaminate.decontaminate(d, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    assert len(decontaminate._parts(bench)) > 3
+    assert key(decontaminate.longest_matches(d, bench).collect()) == one and sorted(str(r.doc_id) for r in decontaminate.decontaminate(d, bench).collect()) == kept
+    assert any(h for _, _, h, _ in one) and len(kept) < d.count()
+
+
 def brute_lines(rows):
     seen, out = set(), []
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
