@@ -261,6 +261,19 @@ def test_gradients_of_attention():
         assert abs((a - b) / 2e-5 - g[k][i]) < 1e-6, k
 
 
+def plain_scores(m, own, begins):
+    """Log probability of each id of one text and of its end, one at a time."""
+    x, y, out = np.concatenate([[0], m.of[own]]).astype(int), np.concatenate([m.out[own], [0]]).astype(int), []
+    for t in range(len(own) + 1):
+        start = max(0, t // lmscore.STRIDE * lmscore.STRIDE - lmscore.STRIDE)
+        seen = x[start : t + 1]
+        a = (m.p["q"][x[t]] @ m.p["k"][seen].T) / np.sqrt(m.p["q"].shape[1]) + m.p["near"][t - start - np.arange(len(seen))]
+        a = np.exp(a) / np.exp(a).sum()
+        z = np.tanh(m.p["e"][x[t]] + a @ m.p["v"][seen]) @ m.p["w"] + m.p["b"]
+        out.append(z[y[t]] - np.log(np.exp(z).sum()) + (m.within[int(begins[t]), own[t]] if t < len(own) else 0))
+    return out
+
+
 def test_batched_scores_equal_one_by_one():
     m, rng = small_model()
     m.ready()
@@ -269,19 +282,53 @@ def test_batched_scores_equal_one_by_one():
     begins = rng.integers(0, 2, len(ids)).astype(bool)
     got, at, k = m.ids(ids, per, begins), 0, 0
     for n in per:
-        own = ids[at : at + n]
-        x = np.concatenate([[0], m.of[own]])
-        y = np.concatenate([m.out[own], [0]])
-        for t in range(n + 1):
-            start = max(0, t // lmscore.STRIDE * lmscore.STRIDE - lmscore.STRIDE)
-            seen = x[start : t + 1]
-            a = (m.p["q"][x[t]] @ m.p["k"][seen].T) / 2.0 + m.p["near"][t - start - np.arange(len(seen))]
-            a = np.exp(a) / np.exp(a).sum()
-            z = np.tanh(m.p["e"][x[t]] + a @ m.p["v"][seen]) @ m.p["w"] + m.p["b"]
-            want = z[y[t]] - np.log(np.exp(z).sum()) + (m.within[int(begins[at + t]), own[t]] if t < n else 0)
-            assert abs(got[k] - want) < 1e-4
-            k += 1
-        at += n
+        assert np.allclose(got[k : k + n + 1], plain_scores(m, ids[at : at + n], begins[at : at + n]), atol=1e-4)
+        at, k = at + n, k + n + 1
+
+
+def test_scores_of_texts_against_brute_force(spark, docs, monkeypatch):
+    from graphloom.llm import tokens
+
+    rng, weight = np.random.default_rng(4), 0.4
+    enc = tokens.word_ids(tokens.default_path())
+    size = enc.slow.tok.get_vocab_size()
+    m = lmscore.Attention(rng.integers(0, 9, size).astype(float), rng.integers(0, 5, size).astype(float), None, dim=4, head=40, inputs=90)
+    for k in m.p:
+        m.p[k] = (rng.standard_normal(m.p[k].shape) * 0.4).astype(np.float32)
+    m.ready()
+    monkeypatch.setattr(lmscore, "HEAD_WORDS", 8)
+    monkeypatch.setattr(lmscore, "fit", lambda *a: m)
+    monkeypatch.setattr(lmscore, "fit_weight", lambda *a: weight)
+    small = docs.filter("doc_id is null or doc_id not in (6, 9)")
+    rows = [(r.doc_id, r.text) for r in small.collect()]
+    train = small.filter(langid.remainder(5) != 1)
+    c = collections.Counter(w for r in train.collect() for w in [*SPACE.findall(low(r.text)), "<end>"])
+    n, v = sum(c.values()), len(c)
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    want = []
+    for i, t in rows:
+        s = next(tk.text_slices(pa.array([t or ""])))
+        ids, per, _ = enc.slice(s)
+        begins = np.zeros(len(ids), bool)
+        begins[(np.cumsum(per) - per)[per > 0]] = True
+        lp, at, total = plain_scores(m, ids, begins), 0, 0.0
+        subs = []
+        for k in per:
+            subs.append(sum(lp[at : at + k]) + sum(m.go[ids[at : at + k - 1]]) + (m.stop[ids[at + k - 1]] if k else 0.0))
+            at += k
+        for w, sub in zip([*SPACE.findall(low(t)), "<end>"], [*subs, lp[-1]], strict=True):
+            p = math.exp(sub)
+            total += math.log10((1 - weight) * (max(c[w] - discount, 0) / n + discount * v / n * p) + weight * p)
+        want.append((str(i), total))
+    got = sorted((str(r.doc_id), r.score) for r in lmscore.score(small, train).collect())
+    for (i, x), (j, y) in zip(got, sorted(want), strict=True):
+        assert i == j and abs(x - y) < 1e-3 * max(1.0, abs(y))
+
+
+def test_held_out_rows_are_likelier_than_under_the_base(spark):
+    r = lmscore.op9_attention_scores(spark, "/root/testdata/sf0.01").filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert r["sum(score)"] > r["sum(base_score)"]
 
 
 def test_word_probabilities_are_proper():
