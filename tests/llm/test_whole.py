@@ -92,3 +92,62 @@ def test_weight_of_attention_is_the_likeliest():
     like = lambda w: np.log((1 - w) * (np.maximum(c - discount, 0) / n + spare * np.exp(sub)) + w * np.exp(sub)).sum()
     got = lmscore.mix(c, sub, n, discount, spare)
     assert 0 < got < 1 and like(got) >= max(like(w) for w in np.linspace(0.001, 0.999, 999)) - 1e-2
+
+
+def plain_ids(enc, texts):
+    return [enc.slice(next(tk.text_slices(pa.array([t or ""]))))[:2] for t in texts]
+
+
+def test_attention_is_trained_on_every_window(spark, docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "SAMPLE_DOCS", 4)
+    monkeypatch.setattr(lmscore, "STEPS", 1)
+    monkeypatch.setattr(lmscore, "TASK_DOCS", 0.5)
+    seen, whole = [], lmscore.trained
+    monkeypatch.setattr(lmscore, "trained", lambda part, *a: (seen.append((part.collect(), whole(part, *a))), seen[-1][1])[1])
+    path = tokens.default_path()
+    model = lmscore.fit(docs.repartition(3), path, docs.count())
+    assert len(seen) == lmscore.ROUNDS + 1 and max(r.task for rows, _ in seen for r in rows) > 0
+    texts = [r.text for r in docs.collect()]
+    assert sorted(str(r.text) for rows, _ in seen for r in rows) == sorted(map(str, texts))
+    # every id of these texts and every end is a target, those of the text of 30,000 words too
+    assert sum(got[3] for _, got in seen) == sum(len(ids) + 1 for ids, _ in plain_ids(tokens.word_ids(path), texts))
+    again = lmscore.fit(docs.repartition(1), path, docs.count())
+    assert all(np.allclose(model.p[k], again.p[k], atol=1e-5) for k in model.p)
+
+
+def test_laid_windows_are_the_blocks():
+    m, rng = lmscore.Attention(np.arange(60, 0, -1).astype(float), np.zeros(60), None, dim=4, head=12, inputs=30, tails=(7, 11)), np.random.default_rng(1)
+    per = np.array([0, 5, 16, 47, 1])
+    ids = rng.integers(0, 60, per.sum())
+    x, first, y, _, _ = m.laid(ids, per, -1)
+    want = m.blocks(np.split(ids, np.cumsum(per)[:-1]), [True] * 5, 96)
+    got = np.concatenate([x[:-1], x[1:]], axis=1)
+    assert np.array_equal(got[:, lmscore.STRIDE :][y >= 0], want[0][:, lmscore.STRIDE :][want[2] >= 0])
+    assert np.array_equal(first, want[1]) and np.array_equal(y, want[2])
+    assert np.array_equal(got[~first, : lmscore.STRIDE], want[0][~first, : lmscore.STRIDE])
+
+
+def test_weight_is_of_all_training_rows(spark, docs, monkeypatch):
+    rng = np.random.default_rng(7)
+    enc = tokens.word_ids(tokens.default_path())
+    size = enc.slow.tok.get_vocab_size()
+    m = lmscore.Attention(rng.integers(0, 9, size).astype(float), rng.integers(0, 5, size).astype(float), None, dim=4, head=40, inputs=90, tails=(50, 61)).ready()
+    monkeypatch.setattr(lmscore, "HEAD_WORDS", 8)
+    monkeypatch.setattr(lmscore, "fit", lambda *a: m)
+    seen, fit_weight = [], lmscore.fit_weight
+    monkeypatch.setattr(lmscore, "fit_weight", lambda *a: (seen.append(fit_weight(*a)), seen[-1])[1])
+    learns = lmscore.remainder(5) != 1
+    got = lmscore.score(docs, learns).collect()
+    other = lmscore.score(docs, docs.filter(learns)).collect()
+    key = lambda rows: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 2)) for r in rows)
+    assert key(got) == key(other) and abs(seen[0] - seen[1]) < 1e-9
+    words, subs = [], []
+    for r in docs.filter(learns).collect():
+        h, sub, _, _ = lmscore.tokens_of(next(tk.text_slices(pa.array([r.text or ""]))), enc, m)
+        words.append(h)
+        subs.append(sub)
+    _, at, c = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+    n, v, n1, n2 = len(at), len(c), (c == 1).sum(), (c == 2).sum()
+    discount = n1 / (n1 + 2 * n2)
+    want = lmscore.mix(c[at] - 1.0, np.concatenate(subs), n - 1, discount, discount * v / n)
+    assert 0 < want < 1 and abs(seen[0] - want) < 0.01
