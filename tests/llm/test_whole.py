@@ -115,6 +115,12 @@ def test_attention_is_trained_on_every_window(spark, docs, monkeypatch):
     assert all(np.allclose(model.p[k], again.p[k], atol=1e-5) for k in model.p)
 
 
+def test_training_rows_without_ids_are_spread(spark):
+    d = spark.range(4000).selectExpr("cast(null as long) doc_id", "concat('text ', id) text")
+    places = [r.p for r in d.select(lmscore.share().alias("p")).collect()]
+    assert np.histogram(places, 8, (0, 1))[0].min() > 400
+
+
 def test_laid_windows_are_the_blocks():
     m, rng = lmscore.Attention(np.arange(60, 0, -1).astype(float), np.zeros(60), None, dim=4, head=12, inputs=30, tails=(7, 11)), np.random.default_rng(1)
     per = np.array([0, 5, 16, 47, 1])
