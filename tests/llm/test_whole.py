@@ -133,6 +133,32 @@ def test_laid_windows_are_the_blocks():
     assert np.array_equal(got[~first, : lmscore.STRIDE], want[0][~first, : lmscore.STRIDE])
 
 
+def test_runs_of_windows_give_the_gradients_of_single_ones(monkeypatch):
+    """And strides that windows share are summed once."""
+    rng, n, seen = np.random.default_rng(2), 60, []
+    m = lmscore.Attention(np.arange(n, 0, -1).astype(float), np.zeros(n), None, dim=4, head=12, inputs=30, tails=(7, 11))
+    for k in m.p:
+        m.p[k] = rng.standard_normal(m.p[k].shape) * 0.3
+    row_sums = lmscore.row_sums
+    monkeypatch.setattr(lmscore, "row_sums", lambda at, rows, size: (seen.append(at.size), row_sums(at, rows, size))[1])
+    per = np.array([0, 5, 16, 47, 1, 900])
+    x, first, y, _, _ = m.laid(rng.integers(0, n, per.sum()), per, -1)
+    value, want = m.loss(np.concatenate([x[:-1], x[1:]], axis=1), first, y)
+    xs, firsts, ys = m.runs(x, first, y)
+    assert (ys >= 0).sum() == (y >= 0).sum() == per.sum() + len(per) and len(xs) > 1
+    more, got = m.loss(xs, firsts.ravel(), ys.reshape(-1, lmscore.STRIDE))
+    assert abs(value - more) < 1e-9 and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+    assert seen[-1] == len(xs) * (lmscore.RUN + 1) * lmscore.STRIDE and seen[-1] < 0.7 * seen[0]
+
+
+def test_sums_of_rows_by_place():
+    rng = np.random.default_rng(3)
+    for at in (rng.zipf(1.5, 3000) % 200, np.zeros(50, int), np.arange(9), np.zeros(0, int)):
+        rows, want = rng.standard_normal((len(at), 5)), np.zeros((200, 5))
+        np.add.at(want, at, rows)
+        assert np.allclose(lmscore.row_sums(at, rows, 200), want)
+
+
 def test_weight_is_of_all_training_rows(spark, docs, monkeypatch):
     rng = np.random.default_rng(7)
     enc = tokens.word_ids(tokens.default_path())
