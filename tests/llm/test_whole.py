@@ -159,6 +159,15 @@ def test_sums_of_rows_by_place():
         assert np.allclose(lmscore.row_sums(at, rows, 200), want)
 
 
+def test_products_in_blocks(monkeypatch):
+    monkeypatch.setattr(lmscore, "SMALL", 90)
+    rng = np.random.default_rng(4)
+    for n, size in ((0, 6), (5, 6), (6, 6), (20, 6), (7, 40)):
+        h, w = rng.standard_normal((n, 5)), rng.standard_normal((5, size))
+        z = lmscore.product(h, w, np.empty((n, size)))
+        assert np.allclose(z, h @ w) and np.allclose(lmscore.inner_product(h, z), h.T @ z)
+
+
 def test_weight_is_of_all_training_rows(spark, docs, monkeypatch):
     rng = np.random.default_rng(7)
     enc = tokens.word_ids(tokens.default_path())
