@@ -90,3 +90,21 @@ def test_components_of_more_links_than_a_task_takes(spark, monkeypatch):
         monkeypatch.setattr(G, "SMALL_LINKS", few)
         assert {r.node: r.component for r in G.components(d, "a", "b").collect()} == roots(pairs)
     assert G.components(d.limit(0), "a", "b").count() == 0
+
+
+def test_a_graph_with_hubs_is_contracted_in_few_rounds(spark, monkeypatch):
+    """Hundreds of nodes that choose the same few: pairs that choose each other alone would take a round for each."""
+    rng = np.random.default_rng(6)
+    rows = sorted({(f"a{rng.integers(0, 6)}", f"b{k:03d}") for k in range(240) for _ in range(3)})
+    d = spark.createDataFrame([(u, v, 1.0) for u, v in rows], "u_id string, v_id string, w double")
+    rounds = []
+    monkeypatch.setattr(G, "materialize", lambda x, name="table": rounds.append(name) or x.localCheckpoint())
+    top, few = G.contract(d, 0.8, 2.0 * len(rows), 15)
+    tops = {r.node_id: r.top for r in top.collect()}
+    assert len(tops) == len({x for r in rows for x in r}) and few.count() <= 15 and rounds.count("merges") <= 4
+    names = sorted(tops)
+    at = {n: i for i, n in enumerate(names)}
+    u, v = (np.array([at[r[k]] for r in rows]) for k in (0, 1))
+    label = np.unique([tops[n] for n in names], return_inverse=True)[1]
+    assert G.modularity(u, v, np.ones(len(rows)), label, 0.8) > G.modularity(u, v, np.ones(len(rows)), np.arange(len(names)), 0.8)
+    assert sum(r.w for r in few.collect()) == pytest.approx(len(rows))
