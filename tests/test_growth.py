@@ -108,3 +108,41 @@ def test_a_graph_with_hubs_is_contracted_in_few_rounds(spark, monkeypatch):
     label = np.unique([tops[n] for n in names], return_inverse=True)[1]
     assert G.modularity(u, v, np.ones(len(rows)), label, 0.8) > G.modularity(u, v, np.ones(len(rows)), np.arange(len(names)), 0.8)
     assert sum(r.w for r in few.collect()) == pytest.approx(len(rows))
+
+
+def test_conceptness_ships_stored_floats_and_never_sorts_them(spark):
+    rng = np.random.default_rng(7)
+    edges = sorted({(f"s{a}", f"o{b}") for a, b in rng.integers(0, 9, (40, 2))})
+    vec = {n: rng.normal(size=4).astype(np.float32) for n in sorted({x for r in edges for x in r})[1:]}
+    vec["s1"] = np.zeros(4, np.float32)
+    e = spark.createDataFrame([(s, o, 1 + k % 3) for k, (s, o) in enumerate(edges)], "s string, o string, weight long")
+    m = spark.createDataFrame([(n, 2) for n in vec], "entity string, mentions long")
+    v = spark.createDataFrame([(n, x.tolist()) for n, x in vec.items()], "entity string, embedding array<float>")
+    c = G.conceptness(e, m, v, top=3)
+    plan = c._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 2
+    near = {}
+    for k, (s, o) in enumerate(edges):
+        near.setdefault(s, []).append((-(1 + k % 3), o))
+        near.setdefault(o, []).append((-(1 + k % 3), s))
+    for r in c.collect():
+        own = [n for _, n in sorted(near[r.entity_id])[:3] if n in vec and r.entity_id in vec]
+        cos = [float(a @ b) / d if (d := np.linalg.norm(a) * np.linalg.norm(b)) else 0.0 for n in own for a, b in [(vec[r.entity_id].astype(float), vec[n].astype(float))]]
+        assert r.neighbor_count == len(own) and r.cohesion == pytest.approx(np.mean(cos) if cos else 0.0, abs=1e-6)
+
+
+def test_search_of_many_questions_keeps_each_ones_nearest(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators.relational import cosine
+    from graphloom.plans import engine
+
+    monkeypatch.setattr(engine, "BLOCK", 3)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (90, 3)).astype(float)  # many ties, some without length
+    v = spark.createDataFrame([(f"c{k}", r.tolist()) for k, r in enumerate(x)], "chunk_id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rng.integers(-2, 3, (8, 3)).astype(float))], "query_id long, q array<double>")
+    rank = lambda d: {(r.query_id, r.rank, r.chunk_id) for r in engine._first(d, 5, F.desc_nulls_last("score"), "chunk_id").collect()}
+    want = v.join(q).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+    got = engine.nearest(v, "chunk_id", q, 5)
+    assert rank(got) == rank(want) and len(rank(got)) == 40
