@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -109,13 +109,26 @@ def by_meaning(text: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> list
     return out
 
 
-def _each(texts: DataFrame, cut) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in frames:
-            rows = [(i, n, level, a, z, max(1, len(c) // 4), c) for i, t in zip(d["text_id"], d["content"], strict=True) for n, (level, a, z, c) in enumerate(cut(t or ""))]
-            yield pd.DataFrame(rows, columns=["text_id", "seq", "level", "start_char", "end_char", "approx_tokens", "content"])
+#: Characters of text after which rows leave for Spark, so that a batch's results aren't held at once.
+SLICE = 1_000_000
 
-    return texts.select("text_id", "content").mapInPandas(run, SCHEMA)
+
+def pieces(frames: Iterator[pd.DataFrame], cut: Callable[[str], list[Piece]]) -> Iterator[pd.DataFrame]:
+    names = ["text_id", "seq", "level", "start_char", "end_char", "approx_tokens", "content"]
+    for d in frames:
+        rows, size = [], 0
+        for i, t in zip(d["text_id"], d["content"], strict=True):
+            rows += [(i, n, level, a, z, max(1, len(c) // 4), c) for n, (level, a, z, c) in enumerate(cut(t or ""))]
+            size += len(t or "")
+            if size >= SLICE:
+                yield pd.DataFrame(rows, columns=names)
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+
+def _each(texts: DataFrame, cut: Callable[[str], list[Piece]]) -> DataFrame:
+    return texts.select("text_id", "content").mapInPandas(lambda frames: pieces(frames, cut), SCHEMA)
 
 
 def paragraph_chunks(texts: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:

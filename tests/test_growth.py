@@ -146,3 +146,18 @@ def test_search_of_many_questions_keeps_each_ones_nearest(spark, monkeypatch):
     want = v.join(q).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
     got = engine.nearest(v, "chunk_id", q, 5)
     assert rank(got) == rank(want) and len(rank(got)) == 40
+
+
+def test_results_of_a_batch_of_texts_leave_in_slices(monkeypatch):
+    import pandas as pd
+
+    from graphloom.operators import chunking, extraction
+
+    text = "Anna quickly likes Berta. " * 40
+    frame = pd.DataFrame({"text_id": range(50), "chunk_id": [str(k) for k in range(50)], "content": [text] * 50})
+    for module, run in ((chunking, lambda: chunking.pieces(iter([frame]), chunking.by_meaning)), (extraction, lambda: extraction.extracted(iter([frame]), extraction.OfflineExtractor()))):
+        whole = list(run())
+        monkeypatch.setattr(module, "SLICE", 5 * len(text))
+        parts = list(run())
+        assert len(whole) == 1 and len(parts) == 10
+        pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole[0])
